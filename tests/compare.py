@@ -53,8 +53,8 @@ def difference(spark, db, name, folder):
     if mine[0] != theirs[0]:
         return f"columns {mine[0]} / {theirs[0]}"
     if mine[1] != theirs[1]:
-        only_mine = [r for r in mine[1] if r not in set(theirs[1])][:3]
-        only_theirs = [r for r in theirs[1] if r not in set(mine[1])][:3]
+        left, right = set(mine[1]), set(theirs[1])
+        only_mine, only_theirs = sorted(left - right)[:3], sorted(right - left)[:3]
         return f"rows {len(mine[1])} / {len(theirs[1])}: {only_mine} / {only_theirs}"
     if not mine[1]:
         return "no rows"

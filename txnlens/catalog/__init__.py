@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history"]
+_SECTIONS = ["history", "ingest"]
 
 
 def load():

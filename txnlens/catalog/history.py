@@ -301,9 +301,9 @@ FROM dist JOIN txn USING (TransactionID), cut WHERE score >= threshold"""))
 def distance_flags(spark, folder):
     """Rows far from the centre of the scaled features, joined to their transaction."""
     frame = features(spark, folder)
-    scaled = scaling.fit_standard(frame, FEATURES).transform(frame, ["TransactionID"])
-    squares = sum((F.col(c) * F.col(c) for c in FEATURES), F.lit(0.0))
-    scored = scaled.select("TransactionID", F.round(F.sqrt(squares), 6).alias("score"))
+    vector = scaling.fit_standard(frame, FEATURES).vector()
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
+    scored = frame.select("TransactionID", F.round(F.sqrt(squares), 6).alias("score"))
     threshold = quantiles(scored, ["score"], [0.95])["score"][0]
     shown = ["TransactionID", "AccountID", "TransactionAmount", "AccountBalance"]
     return (

@@ -23,7 +23,11 @@ def has_space(text: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """A stripped number, or null; suffixes such as 1d are not numbers here."""
-    bare = strip(text)
+    return parse_number(strip(text))
+
+
+def parse_number(bare: Column) -> Column:
+    """`to_number` of text without surrounding whitespace."""
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
@@ -40,12 +44,13 @@ def match_key(header: Column) -> Column:
 def short_number(value: Column) -> Column:
     """Six significant digits without trailing zeros, exponent form outside 1e-4..1e6."""
     science = F.format_string("%.5e", value)
-    exponent = F.substring_index(science, "e", -1).cast("int")
+    exponent = F.substring_index(science, "e", -1).try_cast("int")
     zeros = r"\.?0+$"
     plain = F.regexp_replace(science.try_cast("decimal(38,12)").cast("string"), zeros, "")
     mantissa = F.regexp_replace(F.substring_index(science, "e", 1), zeros, "")
     return (
-        F.when(F.isnan(value), "nan")
+        F.when(value.isNull(), F.lit(None))
+        .when(F.isnan(value), "nan")
         .when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
         .when(value == 0, "0")
         .when((exponent >= -4) & (exponent < 6), plain)
