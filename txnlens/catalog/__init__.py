@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history", "ingest"]
+_SECTIONS = ["history", "ingest", "reports"]
 
 
 def load():
