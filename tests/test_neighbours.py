@@ -7,7 +7,7 @@ from txnlens.detectors.neighbourhood import DBSCAN, LocalOutlierFactor
 from txnlens.operators import neighbours as nb
 
 
-def _points(spark, n=260, copies=90, seed=3):
+def _points(spark, n=200, copies=80, seed=3):
     rng = np.random.default_rng(seed)
     near = rng.normal(size=(n, 3))
     far = rng.normal(6, 0.5, size=(20, 3))
@@ -26,7 +26,7 @@ def _brute(data, k):
 
 @pytest.fixture(autouse=True)
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(nb, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 150)
 
 
 def test_nearest_neighbours_are_exact(spark):

@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history", "ingest", "reports"]
+_SECTIONS = ["history", "ingest", "reports", "models"]
 
 
 def load():

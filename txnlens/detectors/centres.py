@@ -3,13 +3,13 @@
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.detectors.base import Detector
-from txnlens.detectors.batches import dot, moments, score_with, squared_distance
+from txnlens.detectors.batches import dot, matrix, moments, score_with, squared_distance, summed
 from txnlens.schema import SEED
 
 
@@ -76,29 +76,65 @@ class Mixture:
                 np.log(weight) - 0.5 * ((white**2).sum(axis=0) + log_det + width * np.log(2 * np.pi)))
         return np.column_stack(columns)
 
-    def negative_log_likelihood(self, x: np.ndarray) -> np.ndarray:
+    def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each component in every row, and the rows' log-likelihoods."""
         joint = self.log_joint(x)
         top = joint.max(axis=1)
-        return -(top + np.log(np.exp(joint - top[:, None]).sum(axis=1)))
+        total = top + np.log(np.exp(joint - top[:, None]).sum(axis=1))
+        return np.exp(joint - total[:, None]), total
+
+    def negative_log_likelihood(self, x: np.ndarray) -> np.ndarray:
+        return -self.responsibilities(x)[1]
 
 
 class GaussianMixtureDetector(Detector):
     name = "gmm"
 
-    def __init__(self, k: int = 5, seed: int = SEED, iterations: int = 100, **kwargs):
+    def __init__(self, k: int = 5, seed: int = SEED, iterations: int = 100, tolerance: float = 1e-3, **kwargs):
         super().__init__(**kwargs)
-        self.k, self.seed, self.iterations = k, seed, iterations
+        self.k, self.seed, self.iterations, self.tolerance = k, seed, iterations, tolerance
 
     def learn(self, rows):
-        data = _as_features(rows).persist()
-        model = GaussianMixture(k=self.k, seed=self.seed, maxIter=self.iterations).fit(data)
-        data.unpersist()
-        parts = model.gaussians
-        self.model = Mixture(
-            np.maximum(np.array(model.weights), 1e-300),
-            np.array([g.mean.toArray() for g in parts]),
-            np.array([g.cov.toArray() for g in parts]),
-        )
+        """Expectation-maximisation from K-Means groups; each pass merges one array per task."""
+        rows = rows.select("id", "vector").persist()
+        start = KMeansDetector(self.k, starts=1, seed=self.seed)
+        start.learn(rows)
+        centres = np.array(start.centres)
+        self.groups = len(centres)
+
+        def to_nearest(_, x):
+            gaps = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+            return np.eye(len(centres))[gaps.argmin(axis=1)], np.zeros(len(x))
+
+        self.model, _ = self._maximise(rows, None, to_nearest)
+        last = -np.inf
+        for _ in range(self.iterations):
+            self.model, likelihood = self._maximise(rows, self.model, Mixture.responsibilities)
+            if likelihood - last < self.tolerance:
+                break
+            last = likelihood
+        rows.unpersist()
+
+    def _maximise(self, rows, model, responsibilities):
+        """The next mixture, and the mean log-likelihood under the current one."""
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def sums(batch):
+            x = matrix(batch["vector"])
+            share, likelihood = responsibilities(shared.value, x)
+            outer = np.einsum("nk,ni,nj->kij", share, x, x, optimize=True)
+            return np.concatenate([
+                [len(x), likelihood.sum()], share.sum(axis=0), (share.T @ x).ravel(), outer.ravel()])
+
+        flat = summed(rows, sums)
+        n, likelihood, rest = flat[0], flat[1], flat[2:]
+        k = len(self.model.means) if model is not None else self.groups
+        width = int((np.sqrt(4 * len(rest) / k - 3) - 1) / 2 + 0.5)
+        mass = rest[:k] + 1e-10
+        means = rest[k:k + k * width].reshape(k, width) / mass[:, None]
+        second = rest[k + k * width:].reshape(k, width, width) / mass[:, None, None]
+        covariances = second - np.einsum("ki,kj->kij", means, means)
+        return Mixture(mass / n, means, covariances), likelihood / n
 
     def score(self, rows):
         return score_with(rows, self.model, Mixture.negative_log_likelihood)

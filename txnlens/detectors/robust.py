@@ -10,7 +10,7 @@ from txnlens.operators.ranking import uniform_sample
 from txnlens.schema import SEED
 
 START_ROWS = 1_500  # rows of the sample on which starts are tried
-TRIALS, KEPT, STEPS = 200, 3, 30
+TRIALS, KEPT, STEPS = 200, 2, 20
 
 
 def chi2_quantile(degrees: int, p: float) -> float:
@@ -53,7 +53,13 @@ def _starts(sample: np.ndarray, seed: int):
             model = _moments_of(sample[np.argsort(mahalanobis(model, sample))[:half]])
         tried.append((np.linalg.slogdet(model[1])[1], model))
     tried.sort(key=lambda t: t[0])
-    return [model for _, model in tried[:KEPT]]
+    best = []
+    for _, model in tried[:10]:
+        for _ in range(STEPS):
+            model = _moments_of(sample[np.argsort(mahalanobis(model, sample))[:half]])
+        best.append((np.linalg.slogdet(model[1])[1], model))
+    best.sort(key=lambda t: t[0])
+    return [model for _, model in best[:KEPT]]
 
 
 class MinCovDet(Detector):
@@ -69,31 +75,30 @@ class MinCovDet(Detector):
         sample = matrix(uniform_sample(rows, "id", START_ROWS, self.seed).orderBy("id").toPandas()["vector"])
         width = sample.shape[1]
         share = min(1.0, math.ceil(0.5 * (total + width + 1)) / total)
-        found = [self._concentrate(rows, model, share) for model in _starts(sample, self.seed)]
-        _, (location, covariance) = min(found, key=lambda f: f[0])
+        first = [self._step(rows, model, share, total) for model in _starts(sample, self.seed)]
+        determinant, model = min(first, key=lambda f: f[0])
+        for _ in range(STEPS):
+            last = determinant
+            determinant, model = self._step(rows, model, share, total)
+            if not determinant < last - 1e-7:
+                break
+        location, covariance = model
 
         # Consistency at the normal distribution, then one reweighting.
         squared = score_with(rows, (location, covariance), mahalanobis)
-        median = quantiles(squared, ["score"], [0.5])["score"][0]
+        median = quantiles(squared, ["score"], [0.5], rows=total)["score"][0]
         self.model = (location, covariance * median / chi2_quantile(width, 0.5))
         inside = _select_within(rows, self.model, chi2_quantile(width, 0.975))
         _, location, covariance = moments(inside)
         self.model = (location, covariance)
         rows.unpersist()
 
-    def _concentrate(self, rows, model, share):
-        """Refit on the nearest half until the determinant stops falling."""
-        last = np.inf
-        for _ in range(STEPS):
-            squared = score_with(rows, model, mahalanobis)
-            limit = quantiles(squared, ["score"], [share])["score"][0]
-            _, location, covariance = moments(_select_within(rows, model, limit))
-            model = (location, covariance)
-            now = np.linalg.slogdet(covariance)[1]
-            if not now < last - 1e-9:
-                break
-            last = now
-        return now, model
+    def _step(self, rows, model, share, total):
+        """Refit on the nearest half; the determinant can only fall."""
+        squared = score_with(rows, model, mahalanobis)
+        limit = quantiles(squared, ["score"], [share], rows=total)["score"][0]
+        _, location, covariance = moments(_select_within(rows, model, limit))
+        return np.linalg.slogdet(covariance)[1], (location, covariance)
 
     def score(self, rows):
         return score_with(rows, self.model, mahalanobis)

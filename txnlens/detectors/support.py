@@ -58,7 +58,7 @@ class OneClassSVM(Detector):
             pull = 2.0 / (step + 2)
             machine.weights = (1 - pull) * machine.weights + pull * self._average(rows, machine, low)
         margins = score_with(rows, machine, Machine.margin)
-        machine.offset = quantiles(margins, ["score"], [self.nu])["score"][0]
+        machine.offset = quantiles(margins, ["score"], [self.nu], rows=int(n))["score"][0]
         self.machine = machine
         rows.unpersist()
 

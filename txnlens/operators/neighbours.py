@@ -36,6 +36,36 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _approximate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances through one matrix product, and a bound on their error."""
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    return aa[:, None] + bb - 2 * a @ b.T, 1e-10 * (1 + aa.max() + bb.max())
+
+
+def _nearest_in_block(a: np.ndarray, b: np.ndarray, k: int):
+    """(query, block row, distance) of the k nearest; the product only preselects."""
+    rough, error = _approximate(a, b)
+    k = min(k, b.shape[0])
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
+    query, row = np.nonzero(rough <= limit[:, None])
+    gap = a[query] - b[row]
+    far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    order = np.lexsort((row, far, query))
+    query, row, far = query[order], row[order], far[order]
+    nth = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[nth < k], row[nth < k], far[nth < k]
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs lie within eps; those too close to call are measured exactly."""
+    rough, error = _approximate(a, b)
+    close = rough <= eps * eps
+    query, row = np.nonzero(np.abs(rough - eps * eps) <= error)
+    gap = a[query] - b[row]
+    close[query, row] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= eps
+    return close
+
+
 def _stack(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
@@ -74,7 +104,7 @@ class _Cells:
 
 
 def _choose_pivots(refs: DataFrame, rows: int) -> np.ndarray:
-    wanted = int(min(MAX_PIVOTS, max(1, rows**0.5)))
+    wanted = int(min(MAX_PIVOTS, max(1, 2 * rows // BLOCK_ROWS)))
     picked = uniform_sample(refs.select("id", "vector"), "id", wanted, seed=7).collect()
     return np.unique(np.array([r["vector"] for r in picked], dtype=float), axis=0)
 
@@ -126,7 +156,7 @@ def _visits(points: DataFrame, cells: _Cells, radius: float | None) -> DataFrame
     return points.mapInPandas(visit, _ddl(points) + ", cell int")
 
 
-def _blocked(visits: DataFrame, placed: DataFrame, cells: _Cells):
+def _blocked(visits: DataFrame, placed: DataFrame, cells: _Cells, extra: list[str] = ()):
     """Both sides keyed by (cell, block, part) with bounded rows per key."""
     visits = cut_lineage(visits)
     asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
@@ -146,7 +176,7 @@ def _blocked(visits: DataFrame, placed: DataFrame, cells: _Cells):
     left = visits.join(sizes, "cell").select(
         "id", "vector", "cell", spread("block", "blocks"), salt("part", "parts"))
     right = placed.join(sizes, "cell").select(
-        "id", "vector", "cell", salt("block", "blocks"), spread("part", "parts"))
+        "id", "vector", *extra, "cell", salt("block", "blocks"), spread("part", "parts"))
     return left, right
 
 
@@ -164,12 +194,10 @@ def _nearest_points(points: DataFrame, refs: DataFrame, k: int, radius: float |
         if not len(queries) or not len(block):
             return pd.DataFrame({"point": [], "neighbour_id": [], "distance": []})
         block = block.sort_values("id")
-        far = _distances(_stack(queries["vector"]), _stack(block["vector"]))
-        order = np.argsort(far, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(far, order, axis=1).ravel()
+        query, row, found = _nearest_in_block(_stack(queries["vector"]), _stack(block["vector"]), k)
         out = pd.DataFrame({
-            "point": np.repeat(queries["id"].to_numpy(), order.shape[1]),
-            "neighbour_id": block["id"].to_numpy()[order.ravel()],
+            "point": queries["id"].to_numpy()[query],
+            "neighbour_id": block["id"].to_numpy()[row],
             "distance": found,
         })
         return out if radius is None else out[found <= radius]
@@ -234,7 +262,7 @@ def eps_links(points: DataFrame, eps: float) -> DataFrame:
         names = np.unique(np.concatenate([a, b]))
         label = np.arange(len(names))
         at_a, at_b = np.searchsorted(names, a), np.searchsorted(names, b)
-        close = _distances(_stack(queries["vector"]), _stack(block["vector"])) <= eps
+        close = _within(_stack(queries["vector"]), _stack(block["vector"]), eps)
         large = len(names)
         while True:
             old = label.copy()
@@ -252,6 +280,30 @@ def eps_links(points: DataFrame, eps: float) -> DataFrame:
     return local.union(copies.filter("node <> root")).distinct()
 
 
+def count_within(points: DataFrame, eps: float) -> DataFrame:
+    """(id, n): how many rows lie within eps of each row, itself included."""
+    distinct = points.groupBy("vector").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    refs = cut_lineage(distinct)
+    pivots = _choose_pivots(refs, refs.count())
+    placed = cut_lineage(_assign(refs, pivots))
+    cells = _cell_table(placed, pivots, 1)
+    cells.inner[:] = np.inf  # every row within eps counts, not only the nearest
+    left, right = _blocked(_visits(refs.select("id", "vector"), cells, eps), placed, cells, ["weight"])
+
+    def count(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(block):
+            return pd.DataFrame({"point": [], "n": []})
+        close = _within(_stack(queries["vector"]), _stack(block["vector"]), eps)
+        return pd.DataFrame({"point": queries["id"], "n": close @ block["weight"].to_numpy()})
+
+    kind = dict(points.dtypes)["id"]
+    found = left.groupBy(*_GROUP).cogroup(right.groupBy(*_GROUP)).applyInPandas(
+        count, f"point {kind}, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    rows = points.join(distinct.select("vector", F.col("id").alias("point")), "vector")
+    return rows.select("id", "point").join(found, "point").select("id", "n")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id each node is connected to.
 

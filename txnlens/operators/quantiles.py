@@ -18,26 +18,27 @@ BINS = 1_000
 
 def quantile_table(
     df: DataFrame, columns: list[str], probs: list[float], by: list[str] = (),
-    buffer_rows: int | None = None,
+    buffer_rows: int | None = None, rows: int | None = None,
 ) -> DataFrame:
     """One row per group of `by` with an array of quantiles per column.
 
-    `by` must have few distinct values: the brackets of all groups are kept on
+    `rows` saves the counting pass when the size is known. `by` must have few distinct values: the brackets of all groups are kept on
     the driver.
     """
     limit = BUFFER_ROWS if buffer_rows is None else buffer_rows
     by = list(by)
-    if df.count() <= limit:
+    if (df.count() if rows is None else rows) <= limit:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*by).agg(*[F.percentile(c, wanted).alias(c) for c in columns])
     return _narrowed(df, columns, probs, by)
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], buffer_rows: int | None = None
+    df: DataFrame, columns: list[str], probs: list[float], buffer_rows: int | None = None,
+    rows: int | None = None,
 ) -> dict[str, list[float]]:
     """Quantiles of the whole frame as plain numbers."""
-    row = quantile_table(df, columns, probs, buffer_rows=buffer_rows).first()
+    row = quantile_table(df, columns, probs, buffer_rows=buffer_rows, rows=rows).first()
     return {c: [float(v) for v in row[c]] for c in columns}
 
 
