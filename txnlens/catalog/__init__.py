@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history", "ingest", "reports", "models"]
+_SECTIONS = ["history", "ingest", "reports", "models", "explain"]
 
 
 def load():

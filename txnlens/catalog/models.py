@@ -24,7 +24,7 @@ _PAIRS = """
 e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
 far AS (SELECT a.id, b.id AS nid, list_distance(a.v, b.v) AS d FROM e a, e b),
 others AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rk FROM far WHERE id <> nid)"""
-_EPS = 1.05
+_EPS = 1.18
 
 
 @query("knn1_nearest_neighbours", sql(_PAIRS, """
