@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history", "ingest", "reports", "models", "explain"]
+_SECTIONS = ["history", "ingest", "reports", "models", "explain", "streams"]
 
 
 def load():
