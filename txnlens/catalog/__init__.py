@@ -2,7 +2,7 @@
 
 import importlib
 
-_SECTIONS = ["history", "ingest", "reports", "models", "explain", "streams"]
+_SECTIONS = ["history", "ingest", "reports", "models", "explain", "streams", "jobs"]
 
 
 def load():
