@@ -8,7 +8,7 @@ from txnlens.catalog.base import features as feature_table
 from txnlens.functions.text import is_null_token, match_key, strip, to_number
 from txnlens.operators import headers as hd
 from txnlens.operators import uploads as up
-from txnlens.session import scratch_path
+from txnlens.session import cut_lineage, scratch_path
 from txnlens.sources import results as log
 from txnlens.sources import tables
 from txnlens.sources.uploads import count_cells, read_upload, write_text_lines
@@ -430,7 +430,7 @@ def late_refusals(spark, folder):
 @query("flt10_split", sql(UPLOAD, _JUDGED, """
 SELECT line, code IS NULL AS accepted, coalesce(code, '') AS code, coalesce(field, '') AS field, coalesce(reason, '') AS reason FROM judged"""))
 def split(spark, folder):
-    both = judged(spark, folder)
+    both = cut_lineage(judged(spark, folder))  # judged once, read twice
     ok = up.accepted(both).select(
         "line", F.lit(True).alias("accepted"), *[F.lit("").alias(c) for c in ("code", "field", "reason")])
     refused = up.rejected(both).select("line", F.lit(False).alias("accepted"), "code", "field", "reason")

@@ -54,7 +54,8 @@ def running(
         return _window(df, by, order, columns)
     hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, counts.schema))
     cold = _window(df.join(hot_keys, by, "left_anti"), by, order, columns)
-    return cold.unionByName(_chunked(df.join(hot_keys, by, "left_semi"), by, order, columns))
+    scanned = cold.unionByName(_chunked(df.join(hot_keys, by, "left_semi"), by, order, columns))
+    return scanned.select(*[F.col(f"`{c}`") for c in df.columns], *columns)
 
 
 def _local(kind: str, column: str | None, window) -> Column:
@@ -133,6 +134,6 @@ def _chunked(df, by, order, columns):
         return F.coalesce(here, before)
 
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(f"`{c}`") for c in df.columns],
         *[complete(n, r.kind).alias(n) for n, r in columns.items()],
     )
