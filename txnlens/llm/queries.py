@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import chat, lines, mixing, secrets, sharding
+from txnlens.llm import chat, decontaminate, langid, licenses, lines, minhash, mixing, quality, secrets, sharding
+from txnlens.llm.scratch import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,6 +89,15 @@ def _chat_format(spark, folder):
     )
 
 
+# ---- 2: near duplicates --------------------------------------------------
+
+@query("op2_near_duplicates")
+def _near_duplicates(spark, folder):
+    """One row per document with the smallest doc_id of its class and the number of its verified links."""
+    found = minhash.near_duplicates(documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 # ---- 3: sharding ---------------------------------------------------------
 
 @query("op3_shard")
@@ -133,6 +143,26 @@ def _line_dedup(spark, folder):
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+# ---- 5: quality rules ----------------------------------------------------
+
+@query("op5_quality")
+def _quality(spark, folder):
+    measured = cut_lineage(quality.measure(documents(spark, folder).select("doc_id", "lang", "text")).drop("text"))
+    cutoffs = quality.calibrate(measured, spark.read.parquet(f"{folder}/labels.parquet"))
+    return measured.select(
+        "doc_id", *[f"m.{m}" for m in quality.MEASURES[:5]],
+        quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
+
+
+# ---- 6: language identification -----------------------------------------
+
+@query("op6_language")
+def _language(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "lang", "text").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 # ---- 7: mixing -----------------------------------------------------------
 
 _OP7_SQL = r"""
@@ -222,3 +252,23 @@ def _secrets(spark, folder):
         "doc_id", *[count(r) for r in secrets.BASE],
         F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"),
         secrets.spelled(F.col("findings")).alias("spans"))
+
+
+# ---- 9: licenses ---------------------------------------------------------
+
+@query("op9_licenses")
+def _licenses(spark, folder):
+    found = licenses.find_licenses(documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*").select(
+        "doc_id", "license", "start", "end", "saved_bytes", "share_saved", "n_missing", "n_added")
+
+
+# ---- 10: benchmark decontamination --------------------------------------
+
+@query("op10_decontaminate")
+def _decontaminate(spark, folder):
+    """Every document and benchmark item that it holds, at the best place."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = decontaminate.find_leaks(documents(spark, folder).select("doc_id", "text"), benchmark)
+    return found.select("doc_id", F.explode("leaks").alias("l")).select(
+        "doc_id", "l.item_id", F.round("l.similarity", 6).alias("similarity"), "l.first_word", "l.n_words")
