@@ -180,21 +180,21 @@ def _block(prints: np.ndarray, b: int) -> np.ndarray:
     return ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
-    """`docs` with leaks: the benchmark items its whole text holds, at similarity 0.8 or more.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEMS_PER_PASS, column: str = "leaks") -> DataFrame:
+    """`docs` with `column`: the benchmark items its whole text holds, at similarity 0.8 or more.
 
     `benchmark` has item_id and text. Items without a word, and null or empty texts, match nothing; an
     item shorter than five words is one shingle of all its words. Items with one item_id are told apart
     by nothing: the best place counts. The benchmark is read in blocks of `items_per_pass` items, each
-    block being the stated query set of one pass over the texts; a column named leaks is replaced.
+    block being the stated query set of one pass over the texts; a column of that name is replaced.
     """
-    docs = docs.drop("leaks")
+    docs = docs.drop(column)
     items = sorted((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text")
                    .where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator())
     found = F.array().cast(LEAK)
     for at in range(0, len(items), items_per_pass):
         found = F.concat(found, _pass(docs, items[at:at + items_per_pass])(F.col("text")))
-    return docs.withColumn("leaks", found)
+    return docs.withColumn(column, found)
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str]]):

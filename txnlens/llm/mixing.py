@@ -154,12 +154,16 @@ def allot(docs: DataFrame, shards: int = 16, seed: int = 7, block_rows: int = BL
 
 def draw_copies(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """A row per copy that the mix takes, with its output shard and the number of the copy."""
-    drawn = allot(docs, shards, seed).drop("shard", "copy")
-    return drawn.select(*[f"`{c}`" for c in docs.columns], F.posexplode("draws").alias("copy", "shard"))
+    # Columns of the same names as those of the mix are set aside and come back.
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "draws")}
+    drawn = allot(docs.withColumnsRenamed(aside), shards, seed)
+    own = [F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns if c not in ("copy", "shard")]
+    return drawn.select(*own, F.posexplode("draws").alias("copy", "shard"))
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The mix itself: the copies with shard and, in a random order inside it, slot."""
     rows = draw_copies(docs, shards, seed).withColumn("_k", shuffle_key(seed))
     most = max((r[0] for r in rows.groupBy("shard").count().select("count").collect()), default=0)
-    return number_slots(rows, ["_k", "copy"], most, seed).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    own = [f"`{c}`" for c in docs.columns if c not in ("copy", "shard", "slot")]
+    return number_slots(rows, ["_k", "copy"], most, seed).select(*own, "copy", "shard", "slot")

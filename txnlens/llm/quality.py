@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+M = "_measures"
 REPEAT_WORDS = 8
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -85,18 +86,18 @@ def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """`docs` with the measures of its whole texts as a struct `m`; null and empty texts measure 0 throughout."""
+    """`docs` with the measures of its whole texts as a struct `M`; null and empty texts measure 0 throughout."""
     measured = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
-    return docs.drop("m").withColumn("m", measured("text"))
+    return docs.drop(M).withColumn(M, measured("text"))
 
 
 def base_failed() -> Column:
-    return (F.col("m.n_words") < 20) | (100 * F.col("m.n_repeat_words") > 30 * F.col("m.n_words"))
+    return (F.col(f"{M}.n_words") < 20) | (100 * F.col(f"{M}.n_repeat_words") > 30 * F.col(f"{M}.n_words"))
 
 
 def ratio(rule: str) -> Column:
     part, whole = RATIOS[rule]
-    return F.when(F.col(f"m.{whole}") > 0, F.col(f"m.{part}") / F.col(f"m.{whole}")).otherwise(F.lit(0.0))
+    return F.when(F.col(f"{M}.{whole}") > 0, F.col(f"{M}.{part}") / F.col(f"{M}.{whole}")).otherwise(F.lit(0.0))
 
 
 def stratum(column: str = "lang") -> Column:
@@ -127,7 +128,7 @@ def certify(counts: list[tuple[float, int, int]], good: int, risk: float, error:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
-    """stratum -> rule -> cutoff, learned from all labelled rows of `measured` (doc_id, lang, m).
+    """stratum -> rule -> cutoff, learned from all labelled rows of `measured` (doc_id, lang and the measures).
 
     A rule that no cutoff certifies, as in a stratum with few labels, is left out and rejects nothing.
     Of the certified cutoffs the one with the most bad less good rejections is taken, the mildest at
@@ -173,4 +174,4 @@ def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that pass; all columns as they are. Measures twice, so that no text is shuffled."""
     cutoffs = calibrate(measure(docs.select("doc_id", "text", "lang")).drop("text"), labels)
-    return measure(docs).where(verdict(cutoffs)).drop("m")
+    return measure(docs).where(verdict(cutoffs)).drop(M)

@@ -150,7 +150,7 @@ def _quality(spark, folder):
     measured = cut_lineage(quality.measure(documents(spark, folder).select("doc_id", "lang", "text")).drop("text"))
     cutoffs = quality.calibrate(measured, spark.read.parquet(f"{folder}/labels.parquet"))
     return measured.select(
-        "doc_id", *[f"m.{m}" for m in quality.MEASURES[:5]],
+        "doc_id", *[f"{quality.M}.{m}" for m in quality.MEASURES[:5]],
         quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
 
 
