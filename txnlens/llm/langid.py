@@ -122,15 +122,15 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
     """The `most` most frequent entries with their smoothed log frequency in each language."""
-    per = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-    rows = (
-        counts.groupBy("word").agg(F.sum("n").alias("total"), per.alias("per"))
-        .orderBy(F.desc("total"), "word").limit(most).collect()
-    )
+    top = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(most)
+    rows = counts.join(top.select("word"), "word").toPandas()
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    matrix = np.array([[r["per"].get(lang, 0) for lang in langs] for r in rows], dtype=np.float64).reshape(len(rows), len(langs))
+    entries = {w: k for k, w in enumerate(sorted(set(rows["word"])))}
+    matrix = np.zeros((len(entries), len(langs)))
+    column = {lang: k for k, lang in enumerate(langs)}
+    matrix[rows["word"].map(entries).to_numpy(dtype=np.int64), rows["lang"].map(column).to_numpy(dtype=np.int64)] = rows["n"]
     totals = np.array([sums.get(lang, 0) for lang in langs], dtype=np.float64)
-    return {r["word"]: k for k, r in enumerate(rows)}, np.log((matrix + _SMOOTH) / (totals + _SMOOTH * (len(rows) + 1)))
+    return entries, np.log((matrix + _SMOOTH) / (totals + _SMOOTH * (len(entries) + 1)))
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
