@@ -47,19 +47,28 @@ class Model:
     grams: dict[str, int]
     gram_logs: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """The score of a word outside the model: the mean over its positions."""
-        marked = f" {word} "
-        total = np.zeros(len(self.langs))
-        steps = 0
-        for i in range(len(marked) - 1):
-            for n in range(min(MAX_GRAM, len(marked) - i), 0, -1):
-                k = self.grams.get(marked[i:i + n])
-                if k is not None:
-                    total += self.gram_logs[k] + (MAX_GRAM - n) * BACKOFF
-                    break
-            steps += 1
-        return total / max(1, steps)
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The scores of words outside the model, one row each: the mean over the positions of the word."""
+        get, ids, drops, sizes = self.grams.get, [], [], []
+        for word in words:
+            marked = f" {word} "
+            end, before = len(marked), len(ids)
+            for i in range(end - 1):
+                for n in range(min(MAX_GRAM, end - i), 0, -1):
+                    k = get(marked[i:i + n])
+                    if k is not None:
+                        ids.append(k)
+                        drops.append(MAX_GRAM - n)
+                        break
+            sizes.append(len(ids) - before)
+        out = np.zeros((len(words), len(self.langs)))
+        if ids:
+            logs = self.gram_logs[ids] + (np.array(drops) * BACKOFF)[:, None]
+            sums = np.concatenate([np.zeros((1, logs.shape[1])), np.cumsum(logs, axis=0)])
+            ends = np.cumsum(sizes)
+            lengths = np.array([len(w) + 1 for w in words])
+            out = (sums[ends] - sums[ends - sizes]) / lengths[:, None]
+        return out
 
 
 class Scorer:
@@ -74,12 +83,6 @@ class Scorer:
         self.table = np.zeros((len(self.places) + _CACHE_WORDS, len(self.model.langs)))
         self.table[:len(self.places)] = self.model.word_logs
 
-    def _place(self, word: str) -> int:
-        k = len(self.places)
-        self.table[k] = self.model.unseen(word)
-        self.places[word] = k
-        return k
-
     def score(self, text: str | None) -> tuple[str, float]:
         """(language, probability of it among the languages of the model)."""
         found = _letters(text)
@@ -90,9 +93,12 @@ class Scorer:
             part = found[at:at + 10_000]
             if len(self.places) + len(part) > len(self.table):
                 self._start()
-            get = self.places.get
-            ids = [k if (k := get(w)) is not None else self._place(w) for w in part]
-            total += self.table[ids].sum(axis=0)
+            new = [w for w in dict.fromkeys(part) if w not in self.places]
+            if new:
+                first = len(self.places)
+                self.table[first:first + len(new)] = self.model.unseen(new)
+                self.places.update(zip(new, range(first, first + len(new)), strict=True))
+            total += self.table[list(map(self.places.__getitem__, part))].sum(axis=0)
         best = int(np.argmax(total))
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -113,11 +119,13 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[str, dict[str, int]] = {}
         for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
+            own = counts.setdefault(lang, {})
+            get = own.get
             for gram in grams(word):
-                counts[lang, gram] = counts.get((lang, gram), 0) + n
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "word", "n"])
+                own[gram] = get(gram, 0) + n
+        yield pd.DataFrame([(lang, *x) for lang, own in counts.items() for x in own.items()], columns=["lang", "word", "n"])
 
 
 def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
