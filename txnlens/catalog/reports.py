@@ -95,7 +95,12 @@ ord AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(Transaction
   count(*) OVER (PARTITION BY label) AS nl, count(*) OVER () AS n FROM lab)"""
 
 
-@query("spl2_stratified_split", sql(TXN, _LABELLED, "SELECT TransactionID, label, nth <= round_even(nl * 0.25, 0) AS is_test FROM ord"))
+@query("spl2_stratified_split", sql(TXN, _LABELLED, """
+s AS (SELECT label, nl, floor(nl * 0.25) AS whole FROM ord GROUP BY label, nl),
+sizes AS (
+  SELECT label, whole + CASE WHEN row_number() OVER (ORDER BY nl * 0.25 - whole DESC, label)
+                                  <= ceil(0.25 * sum(nl) OVER ()) - sum(whole) OVER () THEN 1 ELSE 0 END AS size FROM s)""", """
+SELECT TransactionID, ord.label, nth <= size AS is_test FROM ord JOIN sizes ON ord.label = sizes.label"""))
 def stratified_split(spark, folder):
     return ranking.stratified_split(_labelled(spark, folder), "TransactionID", "label", 0.25, schema.SEED)
 

@@ -13,7 +13,7 @@ from txnlens.schema import SEED
 
 SAMPLE_ROWS = 256
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
-_SPAN = 2**31
+_SPAN = 2**62
 
 
 def mean_path(size) -> np.ndarray:
@@ -31,7 +31,7 @@ def tree_samples(rows: DataFrame, trees: int, per_tree: int, seed: int) -> DataF
     the lowest hashes of each tree are kept.
     """
     total = rows.count()
-    limit = int(min(1.0, 2.0 * per_tree / max(total, 1)) * _SPAN)
+    limit = min(_SPAN, 2 * per_tree * _SPAN // max(total, 1))
 
     def ticket(tree):
         return F.pmod(F.xxhash64(F.col("id"), tree, F.lit(seed)), F.lit(_SPAN))

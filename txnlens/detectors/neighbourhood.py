@@ -73,7 +73,7 @@ class DBSCAN(Detector):
         self.core = cut_lineage(core.select("id", "vector"))
         if self.core.isEmpty():
             raise ValueError(
-                f"dbscan: eps={self.eps} produced no core samples; increase eps or lower min_samples")
+                f"no row has {self.min_samples} rows within {self.eps} of it: choose a larger radius or a smaller count")
 
     def score(self, rows):
         return nearest_neighbours(rows, self.core, 1).select("id", F.col("distance").alias("score"))

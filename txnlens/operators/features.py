@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.functions.text import quoted
 from txnlens.operators.ordered import Running, running
 from txnlens.operators.quantiles import quantiles
 from txnlens.schema import FEATURES, LEVELS, NUMERIC_FEATURES
@@ -202,11 +203,11 @@ def _serve_rules(df, state):
             f"({largest_text})", account, gap))
     )
     city_note = F.when(no_city, F.format_string(
-        "unseen location '%s': Location_Freq set to the training minimum "
-        f"({state.location_default})", F.col("Location")))
+        "unseen location %s: Location_Freq set to the training minimum "
+        f"({state.location_default})", quoted(F.col("Location"))))
     level_notes = [
         F.when(~F.col(c).isin(levels), F.format_string(
-            f"unseen {c} '%s': all {c} indicators set to 0", F.col(c)))
+            f"unseen {c} %s: all {c} indicators set to 0", quoted(F.col(c))))
         for c, levels in LEVELS.items()
     ]
     values = {

@@ -16,8 +16,6 @@ from txnlens.session import cut_lineage
 
 # A group up to this many rows may be sorted inside one task.
 GROUP_ROWS = 2_000_000
-# Above it a key counts as hot from this share of all rows: at most 5,000 keys.
-HOT_SHARE = 1 / 5_000
 
 
 @dataclass(frozen=True)
@@ -46,15 +44,18 @@ def running(
     if total <= limit:
         return _window(df, by, order, columns)
     if not by:
-        return _chunked(df, by, order, columns)
-    hot_from = max(limit, int(total * HOT_SHARE))
-    counts = df.groupBy(*by).count().filter(F.col("count") > hot_from).drop("count")
-    hot = counts.collect()  # at most total / hot_from rows
-    if not hot:
+        return _chunked(df, by, order, columns, total, limit)
+    # Every key above the fixed limit is hot: at most total / limit keys, kept as a table.
+    hot = cut_lineage(df.groupBy(*by).count().filter(F.col("count") > limit).drop("count"))
+    if hot.isEmpty():
         return _window(df, by, order, columns)
-    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot, counts.schema))
-    cold = _window(df.join(hot_keys, by, "left_anti"), by, order, columns)
-    scanned = cold.unionByName(_chunked(df.join(hot_keys, by, "left_semi"), by, order, columns))
+    keys = hot.toDF(*[f"_h_{c}" for c in by])
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    cold = _window(df.join(keys, match, "left_anti"), by, order, columns)
+    hot_rows = df.join(keys, match, "left_semi")
+    scanned = cold.unionByName(_chunked(hot_rows, by, order, columns, hot_rows.count(), limit))
     return scanned.select(*[F.col(f"`{c}`") for c in df.columns], *columns)
 
 
@@ -79,9 +80,9 @@ def _window(df, by, order, columns):
     return df.select("*", *[_local(r.kind, r.column, window).alias(n) for n, r in columns.items()])
 
 
-def _chunked(df, by, order, columns):
-    spark = df.sparkSession
-    chunks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _chunked(df, by, order, columns, rows, limit):
+    # Chunks of half the limit at most, however many rows there are.
+    chunks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows // max(1, limit))
     ranged = df.repartitionByRange(chunks, *by, *order)
     # The chunk number must stay the same in every later read, hence the cut.
     ranged = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))

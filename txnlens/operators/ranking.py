@@ -1,5 +1,7 @@
 """Ranks, percentiles, splits and samples over whole tables."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +36,27 @@ def _ranked_within(df, identifier, label, seed):
     return running(keyed, [label], ["_key", identifier], {"_nth": Running("count")})
 
 
-def _by_label(df, label, size):
-    """label -> rows wanted, from the label counts (few labels)."""
+def _by_label(df, label, size, exact=None):
+    """label -> rows wanted, from the label counts (few labels).
+
+    With `exact`, the wanted rows add up to ceil(exact * all rows).
+    """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    wanted = {k: size(n, sum(counts.values())) for k, n in counts.items()}
+    total = sum(counts.values())
+    wanted = {k: size(n, total) for k, n in counts.items()}
+    if exact is not None:
+        whole = {k: math.floor(w) for k, w in wanted.items()}
+        up = sorted(wanted, key=lambda k: (whole[k] - wanted[k], k))[:math.ceil(exact * total) - sum(whole.values())]
+        wanted = {k: w + (k in up) for k, w in whole.items()}
     return F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
 
 
 def stratified_split(df: DataFrame, identifier: str, label: str, test_share: float, seed: int) -> DataFrame:
-    """Add `is_test`: the same share of every label, in hash order."""
-    sizes = _by_label(df, label, lambda n, total: round(n * test_share))
+    """Add `is_test`: the same share of every label, in hash order.
+
+    ceil(share * rows) rows in all; the labels with the largest remainders are rounded up, the first label at ties.
+    """
+    sizes = _by_label(df, label, lambda n, total: n * test_share, exact=test_share)
     ranked = _ranked_within(df, identifier, label, seed)
     return ranked.withColumn("is_test", F.col("_nth") <= sizes[F.col(label)]).drop("_key", "_nth")
 

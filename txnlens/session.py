@@ -11,6 +11,7 @@ def build_session(app: str = "txnlens", **conf) -> SparkSession:
     """A session with the settings the operators rely on."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
