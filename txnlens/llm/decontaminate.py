@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.words import scramble, shingles, word_hashes, words
+from txnlens.llm.words import scramble, shingles, text_slices, word_hashes, words
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -28,6 +28,8 @@ _SLACK = 3
 _MOVE = 1 << 15
 RUN_WORDS = 1 << 16
 LONGEST_WINDOW = 30_000
+_LEAK_ARROW = pa.list_(pa.struct([
+    ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 LEAK = "array<struct<item_id:long,similarity:double,first_word:int,n_words:int>>"
 
 
@@ -200,13 +202,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEM
 def _pass(docs: DataFrame, items: list[tuple[int, str]]):
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    @F.pandas_udf(LEAK)
-    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def leaks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = Items(shared.value)
         for batch in texts:
-            yield pd.Series([
+            yield pa.array([
                 [dict(zip(("item_id", "similarity", "first_word", "n_words"), x, strict=True)) for x in found]
-                for found in ready.leaks(batch.tolist())
-            ])
+                for part in text_slices(batch) for found in ready.leaks(part)
+            ], _LEAK_ARROW)
 
-    return leaks
+    return F.arrow_udf(leaks, LEAK)

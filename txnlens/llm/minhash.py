@@ -7,9 +7,8 @@ in a register with the probability of their probability Jaccard similarity J. Ba
 buckets; candidates of a bucket are verified by the exact J.
 
 Texts with equal words are one node. Inside a bucket nodes are compared with the smallest node first
-(stars), so a bucket of any size costs one comparison per node. What a star may miss is completed: 1 - J
-is a metric, so members of different components need comparing only if their similarities to the
-smallest node differ by at most 0.2.
+(stars), so a bucket of any size costs one comparison per node. What stars may miss is completed: members
+of a star group that are still in different components are compared in full, in blocks.
 """
 
 import math
@@ -17,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.graph import components
 from txnlens.llm.scratch import cut_lineage, written
-from txnlens.llm.words import scramble, shingles, word_hashes, words
+from txnlens.llm.words import scramble, shingles, text_slices, word_hashes, words
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -31,6 +31,7 @@ BANDS, BAND_ROWS = 24, 5
 _BATCH_WORDS = 1 << 17
 _ARRIVALS = 8
 _SHINGLE_BYTES = 6
+_CHUNK = 1024
 
 
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -45,13 +46,14 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n
     clock = np.zeros(len(elements))
     step = 0
     while len(active):
-        many = 1 if step == 0 else _ARRIVALS
-        salt = scramble(np.arange(2 * step, 2 * (step + many), dtype=np.uint64))
+        # Few sets are still open: take several arrivals at once. An arrival depends on its number alone.
+        many = max(1, min(_ARRIVALS, len(elements) // len(active)))
+        number = 2 * np.arange(step, step + many, dtype=np.uint64)
         held, who = elements[active], owner[active]
-        draws = scramble(held[:, None] ^ salt[None, :many])
+        draws = scramble(held[:, None] ^ scramble(number))
         waits = -np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[active][:, None]
         times = clock[active][:, None] + np.cumsum(waits, axis=1)
-        slots = who[:, None] * registers + (scramble(held[:, None] ^ salt[None, many:]) % np.uint64(registers)).astype(np.int64)
+        slots = who[:, None] * registers + (scramble(held[:, None] ^ scramble(number + np.uint64(1))) % np.uint64(registers)).astype(np.int64)
         early = times < latest[who][:, None]
         t, s, e = times[early], slots[early], np.broadcast_to(held[:, None], times.shape)[early]
         order = np.lexsort((t, s))
@@ -89,39 +91,36 @@ def sketch_batch(found: list[list[str]]) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def _sketched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _sketched(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        keys: list = [None] * len(batch)
-        bands: list = [None] * len(batch)
+        keys: list = []
+        rows = np.zeros((len(batch), BANDS), dtype=np.int64)
+        none = np.ones(len(batch), dtype=bool)
         group: list[tuple[int, list[str]]] = []
-
-        def flush():
-            if group:
-                for (k, _), row in zip(group, sketch_batch([w for _, w in group]), strict=True):
-                    bands[k] = row
-                group.clear()
-
         size = 0
-        for k, text in enumerate(batch):
-            if text is None:
-                continue
-            found = words(text)
-            # Texts without words are compared as they are.
-            keys[k] = xxhash.xxh3_128_digest(" ".join(found)) if found else xxhash.xxh3_128_digest("\0" + text)
-            if found:
-                group.append((k, found))
-                size += len(found)
-            if size >= _BATCH_WORDS:
-                flush()
-                size = 0
-        flush()
-        yield pd.DataFrame({"key": keys, "bands": bands})
-
-
-def _packed_shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in text_slices(batch):
+            for text in part:
+                found = words(text)
+                if found:
+                    none[len(keys)] = False
+                    group.append((len(keys), found))
+                    size += len(found)
+                # Texts without words are compared as they are.
+                keys.append(None if text is None else xxhash.xxh3_128_digest(" ".join(found) if found else "\0" + text))
+                if size >= _BATCH_WORDS:
+                    rows[[k for k, _ in group]] = sketch_batch([w for _, w in group])
+                    group, size = [], 0
+        if group:
+            rows[[k for k, _ in group]] = sketch_batch([w for _, w in group])
+        ends = np.arange(len(batch) + 1, dtype=np.int32) * BANDS
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()), mask=pa.array(none))
+        yield pa.StructArray.from_arrays([pa.array(keys, pa.binary()), bands], ["key", "bands"])
+
+
+def _packed_shingles(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The sorted shingles of a text, each as often as it occurs, in 48 bits each."""
     for batch in texts:
-        yield pd.Series([_pack(np.sort(shingles(word_hashes(words(t)), SHINGLE))) for t in batch])
+        yield pa.array([_pack(np.sort(shingles(word_hashes(words(t)), SHINGLE))) for part in text_slices(batch) for t in part], pa.binary())
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -149,14 +148,14 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float((1.0 / (above / w + below / v)).sum())
 
 
-def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    last, bag = None, None
-    out = []
+def _similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+    last, bag, out = None, None, []
     for a, b in zip(left, right, strict=True):
-        if b is not last:
+        b = b.as_py()
+        if b != last:
             last, bag = b, _unpack(b)
-        out.append(prob_jaccard(_unpack(a), bag))
-    return pd.Series(out, dtype="float64")
+        out.append(prob_jaccard(_unpack(a.as_py()), bag))
+    return pa.array(out, pa.float64())
 
 
 def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     left = packed.select(F.col("key").alias("a"), F.col("shingles").alias("_sa"))
     right = packed.select(F.col("key").alias("b"), F.col("shingles").alias("_sb"))
     met = pairs.join(left, "a").join(right, "b")
-    return cut_lineage(met.select("a", "b", F.pandas_udf(_similarity, "double")("_sa", "_sb").alias("similarity")))
+    return cut_lineage(met.select("a", "b", F.arrow_udf(_similarity, "double")("_sa", "_sb").alias("similarity")))
 
 
 def _labelled(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
@@ -191,7 +190,7 @@ def _links(docs: DataFrame, base: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", *_text_hash()).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
     texts = texts.select("key", "text").dropDuplicates(["key"])
-    packed = written(texts.select("key", F.pandas_udf(_packed_shingles, "binary")("text").alias("shingles")), "shingles")
+    packed = written(texts.select("key", F.arrow_udf(_packed_shingles, "binary")("text").alias("shingles")), "shingles")
     similar = F.col("similarity") >= SIMILAR
 
     # First one leader per node, then the leaders of its other buckets unless already connected.
@@ -235,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of the text, root names the class.
     """
     rows = docs.select("doc_id", "text")
-    base = cut_lineage(rows.select("doc_id", *_text_hash(), F.pandas_udf(_sketched, "key binary, bands array<long>")("text").alias("s")).select("doc_id", "t1", "t2", "s.*"))
+    base = cut_lineage(rows.select("doc_id", *_text_hash(), F.arrow_udf(_sketched, "key binary, bands array<long>")("text").alias("s")).select("doc_id", "t1", "t2", "s.*"))
     links = cut_lineage(_links(rows, base))
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))

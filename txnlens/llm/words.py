@@ -1,14 +1,17 @@
 """Words and word hashes inside Arrow tasks."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 1 << 16
+_SLICE_ROWS = 256
 
 
 class _Hashes(dict):
@@ -27,6 +30,12 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def text_slices(batch: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, few at a time, so that a task holds few Python strings."""
+    for at in range(0, len(batch), _SLICE_ROWS):
+        yield batch.slice(at, _SLICE_ROWS).to_pylist()
+
+
 def word_hashes(found: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
 
