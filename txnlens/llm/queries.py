@@ -259,8 +259,9 @@ def _secrets(spark, folder):
 @query("op9_licenses")
 def _licenses(spark, folder):
     found = licenses.find_licenses(documents(spark, folder).select("doc_id", "text"))
-    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*").select(
-        "doc_id", "license", "start", "end", "saved_bytes", "share_saved", "n_missing", "n_added")
+    # An outer explode: an inner one would run the scan a second time to filter out empty lists.
+    return found.select("doc_id", F.explode_outer("licenses").alias("l")).where("l IS NOT NULL").select(
+        "doc_id", *[f"l.{c}" for c in ("license", "start", "end", "saved_bytes", "share_saved", "n_missing", "n_added")])
 
 
 # ---- 10: benchmark decontamination --------------------------------------
@@ -270,5 +271,6 @@ def _decontaminate(spark, folder):
     """Every document and benchmark item that it holds, at the best place."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     found = decontaminate.find_leaks(documents(spark, folder).select("doc_id", "text"), benchmark)
-    return found.select("doc_id", F.explode("leaks").alias("l")).select(
+    # An outer explode: an inner one would run the search a second time to filter out empty lists.
+    return found.select("doc_id", F.explode_outer("leaks").alias("l")).where("l IS NOT NULL").select(
         "doc_id", "l.item_id", F.round("l.similarity", 6).alias("similarity"), "l.first_word", "l.n_words")
