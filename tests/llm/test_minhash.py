@@ -121,3 +121,18 @@ def test_components(spark):
     want = {(x, find(x)) for x in list(parent) if find(x) != x}
     got = graph.components(spark.createDataFrame(links, "a long, b long"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_groups_of_many_chunks_lose_no_link(spark, docs_of, monkeypatch):
+    """Star groups cut into chunks of three members: near misses of the first leader still find each other."""
+    monkeypatch.setattr(minhash, "_CHUNK", 3)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            text[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(text) + (" " + " ".join(text[:9]) if i % 7 == 0 else "")))
+    got = sorted(((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(docs_of(rows)).collect()), key=repr)
+    assert got == _classes(rows)
