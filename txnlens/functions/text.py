@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from txnlens.schema import NULL_TOKENS
 
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
 
@@ -31,9 +32,52 @@ def parse_number(bare: Column) -> Column:
     return F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
 
 
+def _iso_spelling(text: Column) -> Column:
+    """Ordinary date spellings rewritten year first; other texts as they are.
+
+    Numbers before the year are month and day, or day and month where the first is no month.
+    """
+    rest = r"(?:,?[ T]+(.*))?$"
+    numeric = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})" + rest
+    year_first = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + rest
+    packed = r"^(\d{4})(\d{2})(\d{2})" + rest
+    names = "|".join(MONTHS)
+    month_first = rf"(?i)^({names})[a-z]*[.]? +(\d{{1,2}}),? +(\d{{4}})" + rest
+    day_first = rf"(?i)^(\d{{1,2}})[ -]+({names})[a-z]*[.]?,?[ -]+(\d{{4}})" + rest
+
+    def spelled(pattern, year, month, day):
+        def part(k):
+            return F.regexp_extract(text, pattern, k)
+
+        def number(k):
+            if pattern not in (month_first, day_first) or k != month:
+                return part(k)
+            found = F.lower(F.substring(part(k), 1, 3))
+            return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), found).cast("string")
+
+        return F.concat_ws("-", part(year), number(month), part(day)), part(4)
+
+    def joined(spelling):
+        date, time = spelling
+        return F.when(time == "", date).otherwise(F.concat_ws(" ", date, time))
+
+    swapped = F.regexp_extract(text, numeric, 1).try_cast("int") > 12
+    return (
+        F.when(text.rlike(numeric) & swapped, joined(spelled(numeric, 3, 2, 1)))
+        .when(text.rlike(numeric), joined(spelled(numeric, 3, 1, 2)))
+        .when(text.rlike(year_first), joined(spelled(year_first, 1, 2, 3)))
+        .when(text.rlike(packed), joined(spelled(packed, 1, 2, 3)))
+        .when(text.rlike(month_first), joined(spelled(month_first, 3, 1, 2)))
+        .when(text.rlike(day_first), joined(spelled(day_first, 3, 2, 1)))
+        .otherwise(text)
+    )
+
+
 def to_naive_timestamp(text: Column) -> Column:
     """The wall time of a timestamp text; an offset is dropped, not applied."""
-    return strip(text).try_cast("timestamp_ntz")
+    bare = strip(text)
+    return F.coalesce(
+        F.when(bare.rlike(r"^\d{4}-"), bare.try_cast("timestamp_ntz")), _iso_spelling(bare).try_cast("timestamp_ntz"))
 
 
 def match_key(header: Column) -> Column:
