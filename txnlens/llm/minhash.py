@@ -202,25 +202,110 @@ def _links(docs: DataFrame, base: DataFrame) -> DataFrame:
     done = done.union(more)
     roots = components(done.where(similar))
 
-    # Buckets that still hold several components: members against the leader, then across components.
-    labelled = _labelled(stars, "key", roots, "root")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_stars = cut_lineage(labelled.join(mixed, "bucket", "left_semi"))
-    missing = open_stars.where(F.col("key") != F.col("leader")).select(
-        F.col("key").alias("a"), F.col("leader").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    done = done.union(_verified(missing, packed))
-    known = done.select(F.col("a").alias("key"), F.col("b").alias("leader"), "similarity")
-    placed = open_stars.where(F.col("key") != F.col("leader")).join(known, ["key", "leader"])
-    main = _labelled(placed, "leader", roots, "main")
-    others = main.where("root != main").select(
-        "bucket", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("similarity").alias("sa"))
-    rest = main.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("similarity").alias("sb"))
-    across = others.join(
-        rest.alias("r"), (others["bucket"] == F.col("r.bucket")) & (F.col("ra") != F.col("rb"))
-        & (F.abs(F.col("sa") - F.col("sb")) <= 1 - SIMILAR + 1e-9))
-    last = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    done = done.union(_verified(last.join(done, ["a", "b"], "left_anti"), packed))
-    return done.where(similar)
+    # Star groups that still hold several components are compared in full, block by block.
+    return done.where(similar).union(_across(stars, roots, packed))
+
+
+def _across(stars: DataFrame, roots: DataFrame, packed: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) between members of one star group that lie in different components.
+
+    The members outside the largest component of their group are compared with all others. Members go
+    into chunks and pairs of chunks into tasks, so that no group meets in one task; a task multiplies
+    two chunks as sparse rows and returns links that join components, never its pairs.
+    """
+    members = stars.select("leader", "key").distinct()
+    labelled = cut_lineage(_labelled(members, "key", roots, "root"))
+    counts = labelled.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("leader").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    groups = groups.where(F.col("most") < F.col("all")).select(
+        "leader", "main", F.ceil(F.col("most") / _CHUNK).cast("int").alias("mains"),
+        F.ceil((F.col("all") - F.col("most")) / _CHUNK).cast("int").alias("outs"))
+    placed = labelled.join(groups, "leader").withColumn("out", F.col("root") != F.col("main"))
+    mixed = F.pmod(F.xxhash64("key", "leader"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int")
+    row = ["leader", "key", "root", "shingles"]
+    placed = written(placed.withColumn("chunk", mixed).join(packed, "key").select(*row, "out", "chunk", "mains", "outs"), "groups")
+    # Chunk i of the others meets all chunks of the largest component and chunks i, i + 1, .. of the others.
+    left = placed.where("out").select(*row, F.col("chunk").alias("i"), F.explode(F.concat(
+        F.transform(F.sequence(F.lit(1), F.col("mains")), lambda j: -j), F.sequence(F.col("chunk"), F.col("outs") - 1))).alias("j"))
+    right = placed.where("out").select(*row, F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"))
+    main = placed.where("NOT out").select(*row, F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), (-1 - F.col("chunk")).alias("j"))
+    # New names on the right, as both sides come from one table.
+    other = right.union(main).toDF("leader2", "key", "root", "shingles", "i2", "j2")
+    found = left.groupBy("leader", "i", "j").cogroup(other.groupBy("leader2", "i2", "j2")).applyInPandas(
+        _compare, "a binary, b binary, similarity double")
+    return cut_lineage(found)
+
+
+def _columns(sets: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray):
+    """(row, column, count) of the shingles that are in `common`."""
+    elements = np.concatenate([e for e, _ in sets])
+    counts = np.concatenate([c for _, c in sets])
+    rows = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    at = np.searchsorted(common, elements).clip(0, len(common) - 1)
+    held = common[at] == elements
+    return rows[held], at[held], counts[held]
+
+
+def _products(left, right, common: np.ndarray, weight) -> np.ndarray:
+    """Sums over the common shingles of weight(row, count) of both sides, for all pairs of rows."""
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    sides = [(_columns(s, common), s) for s in (left, right)]
+    for at in range(0, len(common), _CHUNK):
+        dense = []
+        for (rows, columns, counts), sets in sides:
+            part = (columns >= at) & (columns < at + _CHUNK)
+            table = np.zeros((len(sets), min(_CHUNK, len(common) - at)), dtype=np.float32)
+            table[rows[part], columns[part] - at] = weight(sets, rows[part], counts[part])
+            dense.append(table)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """A spanning set of the links between different components of two chunks."""
+    links: list[tuple[bytes, bytes, float]] = []
+    if len(left) and len(right):
+        a, b = [_unpack(x) for x in left["shingles"]], [_unpack(x) for x in right["shingles"]]
+        seen, times = np.unique(np.concatenate([e for e, _ in a]), return_counts=True)
+        common = seen[times > 1] if key[1] == key[2] else np.intersect1d(seen, np.concatenate([e for e, _ in b]))
+        if len(common):
+            links = _spanning(left, right, a, b, common)
+    return pd.DataFrame(links, columns=["a", "b", "similarity"])
+
+
+def _spanning(left, right, a, b, common) -> list[tuple[bytes, bytes, float]]:
+    shared = _products(a, b, common, lambda sets, rows, counts: 1.0)
+    sizes = [np.array([len(e) for e, _ in s], dtype=np.float64) for s in (a, b)]
+    exact = shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
+    heavy = [np.array([c.max() > 1 for _, c in s]) for s in (a, b)]
+    either = heavy[0][:, None] | heavy[1][None, :]
+    likely = ~either & (exact >= SIMILAR)
+    if either.any():
+        # J is the chance that two draws agree, so it is at most the affinity, the sum of sqrt(p q).
+        sums = [np.array([c.sum() for _, c in s], dtype=np.float64) for s in (a, b)]
+        total = {id(a): sums[0], id(b): sums[1]}
+        affinity = _products(a, b, common, lambda sets, rows, counts: np.sqrt(counts / total[id(sets)][rows]))
+        likely |= either & (affinity >= SIMILAR - 1e-5)
+    names = [[bytes(x) for x in f["root"]] for f in (left, right)]
+    keys = [[bytes(x) for x in f["key"]] for f in (left, right)]
+    parent: dict[bytes, bytes] = {}
+
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(likely), strict=True):
+        x, y = find(names[0][i]), find(names[1][j])
+        if x == y:
+            continue
+        score = prob_jaccard(a[i], b[j]) if either[i, j] else float(exact[i, j])
+        if score >= SIMILAR:
+            parent[x] = y
+            links.append((keys[0][i], keys[1][j], score))
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
