@@ -95,7 +95,7 @@ def test_silhouette_matches_pairwise_means(spark):
     from pyspark.sql import functions as F
 
     labelled = df.withColumn("cluster", (F.col("id") % 3).cast("string"))
-    got = nb.silhouette(labelled, labelled).toPandas().sort_values("id")["silhouette"].to_numpy()
+    got = nb.silhouette(labelled, labelled, 1_000).toPandas().sort_values("id")["silhouette"].to_numpy()
     far = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1))
     cluster = np.arange(len(data)) % 3
     for i in range(0, len(data), 37):
@@ -103,3 +103,18 @@ def test_silhouette_matches_pairwise_means(spark):
         a = far[i, own].sum() / (own.sum() - 1)
         b = min(far[i, cluster == c].mean() for c in range(3) if c != cluster[i])
         assert np.isclose(got[i], (b - a) / max(a, b))
+
+
+def test_silhouette_of_rows_outside_the_sample(spark):
+    rows = [(i, [float(i % 2) * 9 + i / 50], str(i % 2)) for i in range(20)] + [(99, [4.0], "alone")]
+    points = spark.createDataFrame(rows, "id long, vector array<double>, cluster string")
+    got = {r["id"]: r["silhouette"] for r in nb.silhouette(points, points.filter("id < 10"), 10).collect()}
+    assert len(got) == 21 and got[99] == 0.0
+    x = {i: v[0] for i, v, _ in rows}
+    for i in range(20):
+        own = [abs(x[i] - x[j]) for j in range(10) if j % 2 == i % 2 and j != i]
+        other = [abs(x[i] - x[j]) for j in range(10) if j % 2 != i % 2]
+        a, b = sum(own) / len(own), sum(other) / len(other)
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+    with pytest.raises(ValueError):
+        nb.silhouette(points, points, 10)

@@ -65,14 +65,14 @@ def _starts(sample: np.ndarray, seed: int):
 class MinCovDet(Detector):
     name = "mcd"
 
-    def __init__(self, seed: int = SEED, **kwargs):
+    def __init__(self, seed: int = SEED, start_rows: int = START_ROWS, **kwargs):
         super().__init__(**kwargs)
-        self.seed = seed
+        self.seed, self.start_rows = seed, start_rows
 
     def learn(self, rows):
         rows = rows.select("id", "vector").persist()
         total = rows.count()
-        sample = matrix(uniform_sample(rows, "id", START_ROWS, self.seed).orderBy("id").toPandas()["vector"])
+        sample = matrix(uniform_sample(rows, "id", self.start_rows, self.seed).orderBy("id").toPandas()["vector"])
         width = sample.shape[1]
         share = min(1.0, math.ceil(0.5 * (total + width + 1)) / total)
         first = [self._step(rows, model, share, total) for model in _starts(sample, self.seed)]

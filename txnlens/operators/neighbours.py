@@ -330,31 +330,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def silhouette(points: DataFrame, sample: DataFrame) -> DataFrame:
-    """(id, cluster, silhouette) of the sampled rows, against the sample itself.
+def silhouette(points: DataFrame, sample: DataFrame, sample_rows: int) -> DataFrame:
+    """(id, cluster, silhouette) of all `points`, each against the `sample` of them.
 
-    `sample` is bounded by its sampling operator (2,000 rows) and travels to the
-    tasks; rows of a cluster of one get 0.
+    The sample travels to the tasks, so more than `sample_rows` rows are refused.
+    Rows alone in their cluster, or of a cluster that the sample lacks, get 0.
     """
-    kept = sample.select("id", "vector", "cluster").toPandas()
-    vectors, clusters = _stack(kept["vector"]), kept["cluster"].to_numpy()
+    kept = sample.select("id", "vector", "cluster").limit(sample_rows + 1).toPandas()
+    if len(kept) > sample_rows:
+        raise ValueError(f"the sample has more than {sample_rows} rows")
+    vectors, clusters, ids = _stack(kept["vector"]), kept["cluster"].to_numpy(), set(kept["id"])
     names = np.unique(clusters)
     if len(names) < 2:
         return points.sparkSession.createDataFrame([], _ddl(points.select("id", "cluster")) + ", silhouette double")
     members = (clusters[None, :] == names[:, None]).astype(float)
-    shared = points.sparkSession.sparkContext.broadcast((vectors, names, members))
+    shared = points.sparkSession.sparkContext.broadcast((vectors, names, members, ids))
 
     def width(batches):
-        base, labels, inside = shared.value
+        base, labels, inside, sampled = shared.value
         sizes = inside.sum(axis=1)
         for batch in batches:
             if not len(batch):
                 continue
-            own = np.searchsorted(labels, batch["cluster"].to_numpy())
+            wanted = batch["cluster"].to_numpy()
+            own = np.searchsorted(labels, wanted).clip(0, len(labels) - 1)
+            itself = batch["id"].isin(sampled).to_numpy()
             sums = _distances(_stack(batch["vector"]), base) @ inside.T
             rows = np.arange(len(batch))
-            alone = sizes[own] == 1
-            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+            others = sizes[own] - itself
+            alone = (others == 0) | (labels[own] != wanted)
+            a = sums[rows, own] / np.maximum(others, 1)
             means = sums / sizes
             means[rows, own] = np.inf
             b = means.min(axis=1)

@@ -35,7 +35,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
     line = F.col("_before") + F.col("_id") - F.col("_first") + 1
     return (
-        placed.join(bounded_lookup(offsets, cap=1_000_000), ["_path", "_start"])
+        placed.join(bounded_lookup(offsets), ["_path", "_start"])
         .select(*lines.columns, line.alias("line"))
     )
 
