@@ -10,18 +10,29 @@ from txnlens.llm import decontaminate, minhash, mixing, quality, sharding
 from txnlens.llm.scratch import written
 
 
+# Whole documents are long: batches of this many keep the Arrow buffers of a task small.
+ARROW_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the certified rules of their language keep."""
+    _small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id."""
+    _small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item at similarity 0.8 or more."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_leaks(docs, benchmark, column="_leaks").where(F.size("_leaks") == 0).drop("_leaks")
 

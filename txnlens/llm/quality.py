@@ -12,10 +12,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.llm.words import text_slices
+
 M = "_measures"
 REPEAT_WORDS = 8
 SYMBOLS = "#*$%&|<>"
@@ -80,14 +82,16 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.DataFrame([measure_text(t) for t in batch], columns=MEASURES, dtype="int64")
+        rows = [measure_text(t) for part in text_slices(batch) for t in part]
+        columns = np.array(rows, dtype=np.int64).reshape(-1, len(MEASURES)).T
+        yield pa.StructArray.from_arrays([pa.array(c) for c in columns], MEASURES)
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """`docs` with the measures of its whole texts as a struct `M`; null and empty texts measure 0 throughout."""
-    measured = F.pandas_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
+    measured = F.arrow_udf(_measured, ", ".join(f"{m} long" for m in MEASURES))
     return docs.drop(M).withColumn(M, measured("text"))
 
 
