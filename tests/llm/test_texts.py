@@ -161,6 +161,48 @@ def test_every_license_is_found_in_its_place(docs_of):
     assert rest == [[], [], [], [], ["MIT"], [], ["MIT"]]
 
 
+def _prose(rng, size):
+    words = []
+    while size > 0:
+        words.append("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))))
+        size -= len(words[-1]) + 1
+    return words
+
+
+@pytest.mark.parametrize("size", [20_000, 100_000, 1_000_000])
+def test_notices_in_long_lines_are_found(size):
+    rng = random.Random(size)
+    for name, notice in licenses.TEMPLATES.items():
+        words = _prose(rng, size)
+        at = rng.randint(0, len(words))
+        text = " ".join([*words[:at], "zz", notice, "zz", *words[at:]])
+        (found,) = licenses.scan_text(text)
+        assert (found["license"], found["n_missing"], found["n_added"]) == (name, 0, 0)
+        assert text[found["start"]:found["end"]] == notice.rstrip(".")
+
+
+def test_notices_between_many_lines_with_terms_are_found():
+    rng = random.Random(31)
+    for name, notice in licenses.TEMPLATES.items():
+        lines = [f"copyright {' '.join(_prose(rng, 40))}" for _ in range(400)]
+        lines.insert(rng.randint(0, 400), notice)
+        assert [f["license"] for f in licenses.scan_text("\n".join(lines))] == [name]
+
+
+def test_pieces_hold_all_words_near_a_term():
+    rng = random.Random(32)
+    for _ in range(60):
+        words = _prose(rng, rng.choice([10, 2000, 9000]))
+        for _ in range(rng.choice([0, 1, 3, 200])):
+            words.insert(rng.randint(0, len(words)), "license")
+        text = rng.choice([" ", "\n\n", " " * 50]).join(words)
+        near = {j for k, w in enumerate(words) if "licens" in w for j in range(k - licenses.REACH, k + licenses.REACH + 1)}
+        spans = [m.span() for m in re.finditer(r"\w+", text)]
+        parts = list(licenses.pieces(text))
+        assert {spans[j] for j in near if 0 <= j < len(spans)} <= {x[1:] for p in parts for x in p}
+        assert all(len(p) <= licenses.PIECE for p in parts)
+
+
 def test_near_wording_is_listed():
     found = licenses.scan_text("Permission is hereby granted, free of cost, to any person obtaining a copy of this software and "
                                "associated documentation files (the \"Software\"), to deal in the Software without restriction")

@@ -1,8 +1,11 @@
 """License scans by conditional compression.
 
-A block (a run of lines that hold a license term) is compressed with zstandard, once alone and once with
-each license notice as a raw dictionary. The notice that saves most bytes explains most of the block.
-Winners are confirmed by an exact word comparison, which lists what is missing and what was added.
+Around every license term as many words are read on either side as the longest notice can cover, over line
+breaks, blank lines and comment marks. They are taken in overlapping pieces of bounded size. The words of a
+piece are compressed with zstandard, once alone and once with each license notice as a raw dictionary, at
+the same parameters; the notice that saves most bytes explains most of the piece. Savings rank the notices
+and settle ties. What is reported is decided by an exact word comparison alone, which lists what is missing
+and what was added.
 """
 
 import difflib
@@ -43,8 +46,10 @@ TEMPLATES = {
 TERMS = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|mozilla public|warrant"
 # Words whose presence decides which license a notice names.
 TELLING = frozenset("nc nd sa by cc mit bsd apache gnu lesser affero mozilla general".split())
-MIN_SAVED = 6
 MAX_DIFFERENT = 0.2
+# Words a piece holds at most, and characters of a longer word that are compressed (no notice has such a word).
+PIECE = 400
+_LONG = 40
 _WORD = re.compile(r"\w+")
 _TERM = re.compile(TERMS)
 LICENSE = ("array<struct<license:string,start:int,end:int,saved_bytes:int,share_saved:double,"
@@ -55,28 +60,55 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+# Words on either side of a term that a notice with all allowed additions and the slack of its place can cover.
+REACH = int(max(len(_words(t)) for t in TEMPLATES.values()) * (1 + MAX_DIFFERENT)) + 6
+
+
 @lru_cache(maxsize=1)
 def _prepared():
-    alone = zstandard.ZstdCompressor(level=3)
+    # Explicit values: with a level alone, zstandard picks others for a block with a dictionary than without.
+    same = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=3, target_length=16, strategy=zstandard.STRATEGY_BTOPT)
     made = []
     for name, text in TEMPLATES.items():
-        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.append((name, [w for w, _, _ in _words(text)], zstandard.ZstdCompressor(level=3, dict_data=raw)))
-    return alone, made
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of the runs of lines with a license term."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    for line in text.split("\n"):
-        if _TERM.search(line):
-            if out and out[-1][1] == at - 1:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
+        wanted = [w for w, _, _ in _words(text)]
+        raw = zstandard.ZstdCompressionDict(" ".join(wanted).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made.append((name, wanted, zstandard.ZstdCompressor(compression_params=same, dict_data=raw)))
+    return zstandard.ZstdCompressor(compression_params=same), made
+
+
+def _before(text: str, at: int) -> int:
+    """Start of the REACH words that end before `at`, or of the word that `at` lies in the middle of, if they are fewer."""
+    reach = 1024
+    while True:
+        low = max(0, at - reach)
+        starts = [len(m.group()) + m.start() for _, m in zip(range(REACH + 2), _WORD.finditer(text[low:at][::-1]))]
+        if low == 0 or len(starts) == REACH + 2:
+            # The last of them may be cut at `low`.
+            return at - starts[min(REACH, len(starts) - 1)] if starts else at
+        reach *= 2
+
+
+def pieces(text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """The words, with their places, within REACH words of a term, in pieces of PIECE words that overlap by REACH."""
+    terms = (m.start() for m in _TERM.finditer(text))
+    term = next(terms, None)
+    while term is not None:
+        spans, fresh, left = [], 0, None
+        for m in _WORD.finditer(text, _before(text, term)):
+            spans.append((m.group().lower(), m.start(), m.end()))
+            fresh += 1
+            while term is not None and term < m.end():
+                left, term = REACH + 1, next(terms, None)
+            if len(spans) == PIECE:
+                yield spans
+                spans, fresh = spans[-REACH:], 0
+            if left is not None:
+                left -= 1
+                if left < 0:
+                    break
+        if fresh:
+            yield spans
 
 
 def _telling(word: str) -> bool:
@@ -108,22 +140,28 @@ def _difference(found: list[str], wanted: list[str]) -> tuple[list[str], list[st
     return missing, added, low, high
 
 
+def _possible(present: set[str], wanted: list[str]) -> bool:
+    """False where the comparison cannot confirm the notice: too many of its words, or a telling one, occur nowhere."""
+    absent = [w for w in wanted if w not in present]
+    return len(absent) <= MAX_DIFFERENT * len(wanted) and not any(map(_telling, absent))
+
+
 def scan_text(text: str | None) -> list[dict]:
     """The confirmed notices of a whole text, by place, without overlaps."""
     if not text or not _TERM.search(text):
         return []
     alone, made = _prepared()
     out = []
-    for first, end in blocks(text):
-        block = text[first:end]
-        raw = block.encode("utf-8", "surrogatepass")
-        plain = len(alone.compress(raw))
-        spans = _words(block)
+    for spans in pieces(text):
         found = [w for w, _, _ in spans]
-        ranked = sorted(((plain - len(c.compress(raw)), name, wanted) for name, wanted, c in made), key=lambda x: (-x[0], x[1]))
+        present = set(found)
+        likely = [t for t in made if _possible(present, t[1])]
+        if not likely:
+            continue
+        raw = " ".join(w[:_LONG] for w in found).encode("utf-8", "surrogatepass")
+        plain = len(alone.compress(raw))
+        ranked = sorted(((plain - len(c.compress(raw)), name, wanted) for name, wanted, c in likely), key=lambda x: (-x[0], x[1]))
         for saved, name, wanted in ranked:
-            if saved < MIN_SAVED:
-                break
             for start in _places(found, wanted):
                 low = max(0, start - 2)
                 missing, added, a, b = _difference(found[low:start + len(wanted) + 3], wanted)
@@ -131,7 +169,7 @@ def scan_text(text: str | None) -> list[dict]:
                 if b <= a or differ > MAX_DIFFERENT * len(wanted) or any(map(_telling, missing + added)):
                     continue
                 out.append({
-                    "license": name, "start": first + spans[low + a][1], "end": first + spans[low + b - 1][2],
+                    "license": name, "start": spans[low + a][1], "end": spans[low + b - 1][2],
                     "saved_bytes": saved, "share_saved": saved / plain, "n_missing": len(missing),
                     "n_added": len(added), "missing": missing, "added": added})
     # Of overlapping notices the longest with the fewest differences stays.
