@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -189,6 +190,14 @@ def test_notices_between_many_lines_with_terms_are_found():
         assert [f["license"] for f in licenses.scan_text("\n".join(lines))] == [name]
 
 
+@pytest.mark.parametrize(("between", "width"), [("\n", 78), ("\n * ", 60), ("\n\n", 30), ("\r\n# ", 20), ("\n//\n// ", 1)])
+def test_wrapped_notices_are_found_whole(docs_of, between, width):
+    lines = [textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False) for t in licenses.TEMPLATES.values()]
+    texts = ["int a;" + between + between.join(x) + between + "int b;" for x in lines]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs_of(list(enumerate(texts)))).collect()}
+    assert [[(f["license"], f["n_missing"], f["n_added"]) for f in got[k]] for k in range(len(texts))] == [[(n, 0, 0)] for n in licenses.TEMPLATES]
+
+
 def test_pieces_hold_all_words_near_a_term():
     rng = random.Random(32)
     for _ in range(60):

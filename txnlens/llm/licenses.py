@@ -43,7 +43,7 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-TERMS = r"(?i)licen[cs]|copyright|redistribut|permission|public domain|mozilla public|warrant"
+TERMS = r"(?i)licen[cs]|copyright|redistribut|permission|public\W+domain|mozilla\W+public|warrant"
 # Words whose presence decides which license a notice names.
 TELLING = frozenset("nc nd sa by cc mit bsd apache gnu lesser affero mozilla general".split())
 MAX_DIFFERENT = 0.2
