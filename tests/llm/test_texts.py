@@ -97,6 +97,43 @@ def test_languages(docs_of):
     assert {r["lang_pred"] for r in langid.identify(docs.limit(5), empty).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_from_all_their_texts(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_WORDS", 40)
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 60)
+    rng = random.Random(21)
+    common = [f"{a}{b}" for a in ("ba", "lo", "mi", "du") for b in ("ra", "se", "ti", "no", "pu")]
+    rows = [(i, " ".join(rng.choices(common, k=30)), "aa") for i in range(2000)]
+    rows += [(3000 + i, f"kwyx zhuv {'qq' * (i + 1)}", "zz") for i in range(3)]
+    rows += [(4000 + i, "copied gelt", "aa") for i in range(1000)]
+    docs = docs_of(rows)
+    model = langid.fit(docs, 200)
+    assert model.langs == ["aa", "zz"]
+    assert {"kwyx", "zhuv", "qq", "qqqq", "qqqqqq"} <= set(model.words)
+    assert [r["lang_pred"] for r in langid.identify(docs_of([(1, "kwyx zhuv", None), (2, "bara lose", None)]), model).orderBy("doc_id").collect()] == ["zz", "aa"]
+    # The copies count as one text: at most one of about 200 * 30 words.
+    if "copied" in model.words:
+        assert model.word_logs[model.words["copied"], 0] < math.log(2 / 3000)
+    # The bound of a language holds, give or take chance.
+    n = {r["lang"]: r["count"] for r in langid._chosen(docs, 200).groupBy("lang").count().collect()}
+    assert 130 < n["aa"] < 270 and n["zz"] == 3
+
+
+def test_a_copied_text_counts_once(docs_of):
+    rows = [(i, f"bara lose w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}", "aa") for i in range(100)]
+    model = langid.fit(docs_of([*rows, *[(1000 + i, "copied", "aa") for i in range(500)]]))
+    assert model.word_logs[model.words["copied"], 0] < model.word_logs[model.words["bara"], 0] - 3
+
+
+def test_words_and_grams_are_ranked_in_their_language(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_WORDS", 12)
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 40)
+    letters = "abcdefghij"
+    rows = [(i, " ".join(f"{a}{letters[i % 10]}{letters[i // 10 % 10]}{a} " * 3 for a in letters), "aa") for i in range(100)]
+    model = langid.fit(docs_of([*rows, (500, "xyz xyz xyz uvw uvw ttt", "zz")]))
+    assert {"xyz", "uvw", "ttt"} <= set(model.words) and len(model.words) == 12
+    assert "xyz" in model.grams and len(model.grams) == 40
+
+
 def test_unknown_words_back_off():
     model = langid.Model(["x"], {}, __import__("numpy").zeros((0, 1)), {" a": 0, "b": 1}, __import__("numpy").array([[-1.0], [-2.0]]))
     # " a" at the start (3 steps down from 5), nothing at "a", "b" at the third position (4 steps down).

@@ -1,7 +1,7 @@
 """Language identification: known words by log frequency, unknown ones by ever shorter character n-grams.
 
-The model is fitted on a bounded sample of labelled documents and holds a bounded number of words and
-n-grams, so it can be sent to every task. A word of the model scores its log frequency in each language.
+The model is fitted on a bounded sample of the labelled documents of every language and holds a bounded number
+of words and n-grams, the most frequent of each language, so it can be sent to every task. A word of the model scores its log frequency in each language.
 Any other word is read from the left: at each position the longest n-gram of the model is scored, from
 MAX_GRAM characters down to one, discounted by BACKOFF for every step down.
 """
@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.llm.words import LETTERS
 
+# Different texts of each language that are learned from, and entries of the model over all languages.
 FIT_DOCS = 20_000
 MODEL_WORDS = 100_000
 MODEL_GRAMS = 100_000
@@ -128,10 +129,34 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(lang, *x) for lang, own in counts.items() for x in own.items()], columns=["lang", "word", "n"])
 
 
+def _share(hashed: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return hashed.cast("double") / F.lit(2.0**64) + 0.5
+
+
+def _chosen(labelled: DataFrame, fit_docs: int) -> DataFrame:
+    """lang and text of about `fit_docs` different texts of each language, those of the lowest hashes; all where there are no more."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
+    shares = rows.select("lang", "_h").distinct().groupBy("lang").agg((F.lit(float(fit_docs)) / F.count("*")).alias("_share"))
+    # Copies of a text have one hash, so that a text counts once in a language.
+    few = rows.join(F.broadcast(shares), "lang").where((F.col("_share") >= 1) | (_share(F.col("_h")) < F.col("_share")))
+    return few.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def _top(counts: DataFrame, most: int) -> DataFrame:
+    """The `most` entries with the best place by count in any language; entries of one count share their places out by a hash."""
+    before = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per language and different count: their number grows with the root of the counted words.
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("_here"))
+    levels = levels.withColumn("_above", F.coalesce(F.sum("_here").over(before), F.lit(0)))
+    place = F.col("_above") + F.col("_here") * _share(F.xxhash64("word"))
+    placed = counts.join(F.broadcast(levels), ["lang", "n"]).groupBy("word").agg(F.min(place).alias("_place"))
+    return placed.orderBy("_place", "word").limit(most).select("word")
+
+
 def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """The `most` most frequent entries with their smoothed log frequency in each language."""
-    top = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(most)
-    rows = counts.join(top.select("word"), "word").toPandas()
+    """The `most` entries that are most frequent in their languages, with their smoothed log frequency in each language."""
+    rows = counts.join(_top(counts, most), "word").toPandas()
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     entries = {w: k for k, w in enumerate(sorted(set(rows["word"])))}
     matrix = np.zeros((len(entries), len(langs)))
@@ -142,22 +167,21 @@ def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, in
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """A model from text and lang of about `fit_docs` rows with a language, chosen by a hash of the text.
+    """A model from text and lang of the rows with a language: about `fit_docs` different texts of each, chosen by a hash of the text.
 
+    A language with no more texts is learned from all of them. Copies of a text count once in a language.
     Rows without text or language are ignored; an empty table gives a model without languages.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    total = rows.count()
-    share = min(1.0, fit_docs / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = chosen.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = _chosen(labelled, fit_docs).mapInPandas(_count_words, "lang string, word string, n long")
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    shorter = counts.mapInPandas(_count_grams, "lang string, word string, n long")
+    shorter = shorter.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
         langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
         known, logs = _table(counts, langs, MODEL_WORDS)
-        shorter = counts.mapInPandas(_count_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         parts, part_logs = _table(shorter, langs, MODEL_GRAMS)
     finally:
+        shorter.unpersist()
         counts.unpersist()
     return Model(langs, known, logs, parts, part_logs)
 
