@@ -319,3 +319,20 @@ def test_leaks_against_plain(spark, docs_of):
     assert 2 in ones[503] and 0 in ones[504]
     assert decontaminate.find_leaks(docs_of([]), benchmark).count() == 0
     assert decontaminate.find_leaks(docs_of(rows[:3]), benchmark.limit(0)).where(F.size("leaks") > 0).count() == 0
+
+
+def test_items_without_id_are_found(spark, docs_of, monkeypatch):
+    rng = random.Random(41)
+    passages = [" ".join(rng.choices([f"v{i}" for i in range(3000)], k=30)) for _ in range(6)]
+    benchmark = spark.createDataFrame([(None, passages[0]), (7, passages[1]), (None, passages[2]), (8, None), (0, passages[3])], "item_id long, text string")
+    docs = docs_of([(1, f"aa {passages[0]} bb"), (2, " cc ".join(passages[:4])), (3, passages[4])])
+    for most_words in (decontaminate.WORDS_PER_PASS, 45):
+        monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", most_words)
+        got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.find_leaks(docs, benchmark).collect()}
+        assert got == {1: [None], 2: [None, None, 0, 7], 3: []}
+
+
+def test_blocks_of_items_are_bounded_by_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", 10)
+    benchmark = spark.createDataFrame([(k, "w " * n) for k, n in enumerate([4, 6, 1, 40, 2, 2, 2, 2])], "item_id long, text string")
+    assert [[k for k, _ in b] for b in decontaminate._item_blocks(benchmark, 3)] == [[0, 1], [2], [3], [4, 5, 6], [7]]

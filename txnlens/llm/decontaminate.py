@@ -24,6 +24,7 @@ SIMILAR = 0.8
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEMS_PER_PASS = 2_000
+WORDS_PER_PASS = 200_000
 _SLACK = 3
 _MOVE = 1 << 15
 RUN_WORDS = 1 << 16
@@ -95,7 +96,7 @@ def _similarity(a: Counter, b: Counter) -> float:
 class Items:
     """A block of benchmark items with its fingerprint tables."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [(i, word_hashes(words(t))) for i, t in items]
         self.items = [(i, h) for i, h in self.items if len(h)]
         self.bags = [Counter(shingles(h, SHINGLE).tolist()) for _, h in self.items]
@@ -123,7 +124,7 @@ class Items:
             tables.append((first, np.repeat(np.arange(len(prints)), len(near))[order]))
         return size, stride, np.array(members)[which], offset, prints, tables
 
-    def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
+    def leaks(self, texts: list[str | None]) -> list[list[tuple[int | None, float, int, int]]]:
         """For each text (item_id, similarity, first word, words) of each item it holds, at its best place."""
         hashed = [word_hashes(words(t)) for t in texts]
         places: list[set[tuple[int, int]]] = [set() for _ in texts]
@@ -161,7 +162,7 @@ class Items:
                         k, cut, _ = run[text[w]]
                         places[k].add((int(owner[e]), int(cut + start[w] - offset[e])))
 
-    def _verify(self, hashed: np.ndarray, places: set[tuple[int, int]]) -> list[tuple[int, float, int, int]]:
+    def _verify(self, hashed: np.ndarray, places: set[tuple[int, int]]) -> list[tuple[int | None, float, int, int]]:
         best: dict[int, tuple[float, int, int]] = {}
         tried = set()
         for k, start in places:
@@ -175,27 +176,42 @@ class Items:
                 score = _similarity(bag, Counter(shingles(window, SHINGLE).tolist()))
                 if score >= SIMILAR and (k not in best or (score, -a) > (best[k][0], -best[k][1])):
                     best[k] = (score, a, len(window))
-        return sorted((self.items[k][0], *found) for k, found in best.items())
+        return sorted(((self.items[k][0], *found) for k, found in best.items()), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
 
 
 def _block(prints: np.ndarray, b: int) -> np.ndarray:
     return ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
 
 
+def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items with a text in order, in blocks of `most` items and WORDS_PER_PASS words; the driver holds one partition and one block."""
+    block, room = [], WORDS_PER_PASS
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text")
+    for item, text in rows.toLocalIterator():
+        n = len(words(text))
+        if block and (len(block) == most or n > room):
+            yield block
+            block, room = [], WORDS_PER_PASS
+        block.append((item, text))
+        room -= n
+    if block:
+        yield block
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEMS_PER_PASS, column: str = "leaks") -> DataFrame:
     """`docs` with `column`: the benchmark items its whole text holds, at similarity 0.8 or more.
 
     `benchmark` has item_id and text. Items without a word, and null or empty texts, match nothing; an
-    item shorter than five words is one shingle of all its words. Items with one item_id are told apart
-    by nothing: the best place counts. The benchmark is read in blocks of `items_per_pass` items, each
-    block being the stated query set of one pass over the texts; a column of that name is replaced.
+    item shorter than five words is one shingle of all its words. An item without item_id is an item
+    like any other and is listed with a null. Every row of the benchmark is searched on its own, so that
+    an item_id is listed once for each of its rows that the text holds. The benchmark is read in blocks
+    of `items_per_pass` items and about WORDS_PER_PASS words at most (one item at least), each block
+    being the stated query set of one pass over the texts; a column of that name is replaced.
     """
     docs = docs.drop(column)
-    items = sorted((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text")
-                   .where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator())
     found = F.array().cast(LEAK)
-    for at in range(0, len(items), items_per_pass):
-        found = F.concat(found, _pass(docs, items[at:at + items_per_pass])(F.col("text")))
+    for block in _item_blocks(benchmark, items_per_pass):
+        found = F.concat(found, _pass(docs, block)(F.col("text")))
     return docs.withColumn(column, found)
 
 
