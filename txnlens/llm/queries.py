@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import chat, decontaminate, langid, licenses, lines, minhash, mixing, quality, secrets, sharding
+from txnlens.llm import centroids, chat, decontaminate, langid, licenses, lines, minhash, mixing, quality, secrets, sharding
 from txnlens.llm.scratch import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,3 +274,50 @@ def _decontaminate(spark, folder):
     # An outer explode: an inner one would run the search a second time to filter out empty lists.
     return found.select("doc_id", F.explode_outer("leaks").alias("l")).where("l IS NOT NULL").select(
         "doc_id", "l.item_id", F.round("l.similarity", 6).alias("similarity"), "l.first_word", "l.n_words")
+
+
+# ---- 11: centroid clustering ---------------------------------------------
+
+_OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), vi AS (
+  SELECT row_number() OVER () AS r, vec_id, v FROM v
+), vc AS (
+  SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vi
+), seed AS (
+  SELECT v, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS cid
+  FROM vi ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v LIMIT 8
+), c(step, cid, i, x) AS (
+  SELECT 0, cid, generate_subscripts(v, 1), unnest(v) FROM seed
+  UNION ALL
+  SELECT * FROM (
+    WITH d AS (
+      SELECT vc.r, c.cid, sum((vc.x - c.x) * (vc.x - c.x)) AS dist, any_value(c.step) AS step
+      FROM vc JOIN c ON vc.i = c.i GROUP BY vc.r, c.cid
+    ), a AS (SELECT r, arg_min(cid, (dist, cid)) AS cid, any_value(step) AS step FROM d GROUP BY r),
+    m AS (
+      SELECT a.cid, vc.i, CAST(floor(sum(vc.x) / count(*)) AS BIGINT) AS x
+      FROM a JOIN vc ON a.r = vc.r GROUP BY a.cid, vc.i
+    )
+    SELECT c.step + 1, c.cid, c.i, coalesce(m.x, c.x) FROM c LEFT JOIN m ON c.cid = m.cid AND c.i = m.i
+    WHERE c.step < 10
+  )
+), f AS (SELECT cid, i, x FROM c WHERE step = 10),
+d AS (
+  SELECT vc.r, f.cid, sum((vc.x - f.x) * (vc.x - f.x)) AS dist FROM vc JOIN f ON vc.i = f.i GROUP BY vc.r, f.cid
+), a AS (SELECT r, arg_min(cid, (dist, cid)) AS cid, CAST(min(dist) AS BIGINT) AS distance FROM d GROUP BY r),
+h AS (SELECT cid, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM f GROUP BY cid)
+SELECT vi.vec_id, CAST(a.cid AS INTEGER) AS cluster, a.distance,
+       CAST(sum(a.distance) OVER (PARTITION BY a.cid) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM vi JOIN a ON vi.r = a.r JOIN h ON a.cid = h.cid"""
+
+
+@query("op11_centroids", _OP11_SQL)
+def _centroids(spark, folder):
+    """Every kept vector of `embeddings` with its cluster after 10 rounds of 8 exact integer centroids."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.cluster(vectors, k=8, rounds=10, seed_tag="3")
