@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import centroids, chat, decontaminate, langid, licenses, lines, minhash, mixing, quality, secrets, sharding
+from txnlens.llm import centroids, chat, decontaminate, langid, licenses, lines, minhash, mixing, packing, quality, secrets, sharding
 from txnlens.llm.scratch import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,3 +321,12 @@ def _centroids(spark, folder):
     """Every kept vector of `embeddings` with its cluster after 10 rounds of 8 exact integer centroids."""
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
     return centroids.cluster(vectors, k=8, rounds=10, seed_tag="3")
+
+
+# ---- 12: best-fit packing -------------------------------------------------
+
+@query("op12_pack")
+def _pack(spark, folder):
+    """Every piece of every document's token ids, placed in sequences of at most 4096 tokens."""
+    pieces = packing.token_pieces(documents(spark, folder), packing.tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(pieces, capacity=4096)
