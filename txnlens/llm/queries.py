@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import centroids, chat, decontaminate, langid, licenses, lines, minhash, mixing, packing, quality, secrets, sharding
+from txnlens.llm import centroids, chat, decontaminate, langid, licenses, lines, minhash, mixing, packing, quality, repair, secrets, sharding
 from txnlens.llm.scratch import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,3 +330,11 @@ def _pack(spark, folder):
     """Every piece of every document's token ids, placed in sequences of at most 4096 tokens."""
     pieces = packing.token_pieces(documents(spark, folder), packing.tokenizer_path("word_bpe_49k.json"))
     return packing.pack(pieces, capacity=4096)
+
+
+# ---- 13: conversation structure repair -------------------------------------
+
+@query("op13_repair")
+def _repair(spark, folder):
+    """Every conversation after damage, with its faults and the cheapest repair to (s?(ua)+)?."""
+    return repair.repair(spark.read.parquet(f"{folder}/conversations.parquet"))
