@@ -39,7 +39,9 @@ def check_packing(rows, capacity):
 def test_pieces_match_plain_tokenization(spark, docs_of):
     long_text = " ".join(f"word{i % 97} Zeta." for i in range(5000))
     rows = [(1, "Hello world, the quick brown fox."), (2, None), (3, ""), (4, long_text), (4, long_text),
-            (None, "no id"), (6, "ünïcödé  text\n\nwith lines")]
+            (None, "no id"), (6, "ünïcödé  text\n\nwith lines"), (8, "Hello <|endoftext|> World"),
+            (9, "HI <|ENDOFTEXT|> x"), (10, "tab\ttab\x1cfs\x1fus \u3000 x\u2028y"), (11, "ÀÉÎ Σίσυφος ΣΑΣ"),
+            (12, "é café 123 4,5 ''s it's L'LL"), (13, "İstanbul ǅ ﬁ 😀 ⅷ ½"), (14, "x" * 50_000)]
     got = packing.token_pieces(docs_of(rows)).collect()
     got = sorted((tuple(r) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
     assert got == plain_pieces([(d, t) for d, t, *_ in rows])

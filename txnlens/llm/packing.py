@@ -18,8 +18,12 @@ leftovers of other islands. The last epoch makes all its bins final.
 """
 
 import bisect
+import itertools
+import json
 import math
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -52,20 +56,114 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 _LOADED: dict = {}
+# Unicode White_Space, what `\s` means in the tokenizer's own regexes.
+_WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CACHE_PIECES = 1 << 20
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
+class _Pieces(dict):
+    """Pre-token -> its ids, from the tokenizer itself; BPE works on one pre-token at a time."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok = tok
+
+    def __missing__(self, piece):
+        if len(self) >= _CACHE_PIECES:
+            self.clear()
+        ids = self[piece] = self.tok.encode(piece, add_special_tokens=False).ids
+        return ids
+
+
+class Encoder:
+    """Token ids of texts. For a tokenizer built as NFC, whitespace runs to one space, lower case, then a
+    regex split that keeps its matches and byte-level BPE (as word_bpe_49k), texts are split into pre-tokens
+    here and each distinct pre-token is encoded once by the tokenizer; any other tokenizer encodes whole texts.
+    The ids are the same either way; tests compare them with plain `Tokenizer.encode`."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.split = self._fast_split(spec)
+        # Texts holding an added token's string go to the tokenizer whole, which matches those first.
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", []) if t["content"]]
+        self.marks = {c for a in self.added for c in (a[0], a[0].upper())}
+        self.pieces = _Pieces(self.tok)
+
+    @staticmethod
+    def _fast_split(spec):
+        norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        steps = [n.get("type") for n in norm.get("normalizers", [])]
+        pres = pre.get("pretokenizers", [])
+        if (steps != ["NFC", "Replace", "Lowercase"] or norm["normalizers"][1].get("pattern") != {"Regex": "\\s+"}
+                or norm["normalizers"][1].get("content") != " " or [p.get("type") for p in pres] != ["Split", "ByteLevel"]
+                or pres[0].get("behavior") != "Removed" or not pres[0].get("invert") or pres[1].get("use_regex")):
+            return None
+        pattern = pres[0]["pattern"].get("Regex")
+        if pattern is None or pattern.count("\\s") != pattern.count("[^\\s"):
+            return None
+        import regex
+
+        # ASCII texts: letters are a-z after lower case and numbers 0-9, so the standard library's engine
+        # runs the same split with the classes of the tokenizer's pattern narrowed to ASCII.
+        ascii_split = re.compile(pattern.replace("\\s", "\t\n\x0b\x0c\r ").replace("\\p{L}", "a-z")
+                                 .replace("\\p{N}", "0-9"))
+        ascii_space = re.compile("[\t\n\x0b\x0c\r ]+")
+        split = regex.compile(pattern.replace("\\s", _WHITE))
+        space = regex.compile(f"[{_WHITE}]+")
+
+        def pieces(text: str) -> list[str]:
+            if text.isascii():
+                return ascii_split.findall(ascii_space.sub(" ", text).lower())
+            # The tokenizer lower-cases letter by letter: a final capital sigma becomes σ, never ς.
+            return split.findall(space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
+
+        return pieces
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of every text."""
+        if self.split is None:
+            return [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        whole = [any(m in t for m in self.marks) and any(a in t.lower() for a in self.added) for t in texts]
+        split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
+        flat_pieces = [p for ps in split for p in ps]
+        keys = list(dict.fromkeys(flat_pieces))
+        # Pieces not seen yet are encoded in one call.
+        new = [k for k in keys if k not in self.pieces]
+        if len(self.pieces) + len(new) > _CACHE_PIECES:
+            self.pieces.clear()
+            new = keys
+        for piece, enc in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
+            self.pieces[piece] = enc.ids
+        per_key = [self.pieces[k] for k in keys]
+        key_len = np.fromiter(map(len, per_key), dtype=np.int64, count=len(keys))
+        key_flat = np.fromiter(itertools.chain.from_iterable(per_key), dtype=np.uint32, count=int(key_len.sum()))
+        key_start = np.cumsum(key_len) - key_len
+        where = dict(zip(keys, range(len(keys))))
+        at = np.fromiter(map(where.__getitem__, flat_pieces), dtype=np.int64, count=len(flat_pieces))
+        lens = key_len[at]
+        total = int(lens.sum())
+        ids = key_flat[np.repeat(key_start[at] - (np.cumsum(lens) - lens), lens) + np.arange(total)]
+        piece_ends = np.cumsum([len(ps) for ps in split])
+        token_ends = np.concatenate([[0], np.cumsum(lens)])[piece_ends]
+        out = np.split(ids, token_ends[:-1])
+        return [np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w else o
+                for t, w, o in zip(texts, whole, out, strict=True)]
+
+
+def _tokenizer(path: str) -> Encoder:
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
-def cut(ids: list[int], length: int = SEQUENCE) -> list[tuple[int, int, int, int]]:
+def cut(ids, length: int = SEQUENCE) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32 of little-endian uint32 ids) of a document's ids."""
-    arr = np.asarray(ids, dtype="<u4")
+    arr = np.asarray(ids).astype("<u4", copy=False)
     return [(p, s, len(arr[s:s + length]), zlib.crc32(arr[s:s + length].tobytes()))
             for p, s in enumerate(range(0, max(len(arr), 1), length))]
 
@@ -77,16 +175,15 @@ def token_pieces(docs: DataFrame, path: str | None = None, text: str = "text", i
     path = path or tokenizer_path()
 
     def run(batches):
-        tok = _tokenizer(path)
-        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        encoder = _tokenizer(path)
         for batch in batches:
             ids_col, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, _TEXTS_AT_ONCE):
                 chunk = [t or "" for t in texts.slice(at, _TEXTS_AT_ONCE).to_pylist()]
                 doc = ids_col.slice(at, _TEXTS_AT_ONCE).to_pylist()
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                for d, enc in zip(doc, encode(chunk, add_special_tokens=False), strict=True):
-                    for piece, start, n, crc in cut([*enc.ids, end_id], length):
+                for d, ids in zip(doc, encoder.ids(chunk), strict=True):
+                    for piece, start, n, crc in cut(np.append(ids, np.uint32(end_id)), length):
                         for k, v in zip(out, (d, piece, start, n, crc), strict=True):
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
