@@ -158,6 +158,13 @@ def replay_features(
     return _serve_rules(with_location_frequency(seen, state), state).drop("_day", "_city_n")
 
 
+def serve_features(seen: DataFrame, state: FeatureState) -> DataFrame:
+    """Features of rows that already carry their history (`last_ts` and the two day counts), as a
+    stream's state emits them: the same serving rules as `replay_features`."""
+    dated = seen.withColumn("_day", day_of(F.col("TransactionDate")))
+    return _serve_rules(with_location_frequency(dated, state), state).drop("_day", "_city_n")
+
+
 def _with_history(seen, profiles):
     last = profiles.account_last.withColumnRenamed("last_ts", "_old_ts")
     accounts = profiles.account_days.toDF("AccountID", "_day", "_account_n")
