@@ -512,7 +512,13 @@ def result_append(spark, folder):
 @query("snk2_recent_feed", sql(TXN, RESULTS, """
 SELECT transaction_id, CAST(scored_at AS VARCHAR) AS scored_at FROM results ORDER BY results.scored_at DESC, transaction_id DESC LIMIT 50"""))
 def recent_feed(spark, folder):
-    return log.recent(results(spark, folder)).select(
+    """The feed read from the result log, newest days first: only the partitions it needs are scanned."""
+    path = scratch_path(spark, "results")
+    scored = results(spark, folder)
+    early = F.col("scored_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    log.append_results(scored.filter(early), path, batch_id=0)
+    log.append_results(scored.filter(~early), path, batch_id=1)
+    return log.recent_in_log(spark, path).select(
         "transaction_id", F.col("scored_at").cast("string").alias("scored_at"))
 
 
