@@ -29,6 +29,9 @@ _SLACK = 3
 _MOVE = 1 << 15
 RUN_WORDS = 1 << 16
 LONGEST_WINDOW = 30_000
+# From this many words on, an item also gets windows of a quarter of its length at a fifth of it apart: a block
+# of up to a fifth of the item edited in a row then leaves a whole aligned window outside it.
+LONG_ITEM = 100
 _LEAK_ARROW = pa.list_(pa.struct([
     ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 LEAK = "array<struct<item_id:long,similarity:double,first_word:int,n_words:int>>"
@@ -101,14 +104,18 @@ class Items:
         self.items = [(i, h) for i, h in self.items if len(h)]
         self.bags = [Counter(shingles(h, SHINGLE).tolist()) for _, h in self.items]
         self.longest = max((len(h) for _, h in self.items), default=0)
-        by_size, sizes = defaultdict(list), _sizes(min(self.longest, LONGEST_WINDOW))
+        by_size, quarters, sizes = defaultdict(list), defaultdict(list), _sizes(min(self.longest, LONGEST_WINDOW))
         for k, (_, hashed) in enumerate(self.items):
             n = len(hashed)
             by_size[n if n < SHINGLE else max(s for s in sizes if s <= max(4, n * 4 // 5))].append(k)
-        self.classes = [self._tables(size, members) for size, members in sorted(by_size.items())]
-
-    def _tables(self, size: int, members: list[int]):
-        stride = min(len(self.items[k][1]) - size + 1 for k in members)
+            if n >= LONG_ITEM:
+                quarters[max(s for s in sizes if s <= n // 4)].append(k)
+        self.classes = [self._tables(size, members) for size, members in sorted(by_size.items())] + [
+            self._tables(size, members, lambda n: max(1, n // 5)) for size, members in sorted(quarters.items())]
+
+    def _tables(self, size: int, members: list[int], step=None):
+        step = step or (lambda n: n - size + 1)
+        stride = min(step(len(self.items[k][1])) for k in members)
         lengths = np.array([len(self.items[k][1]) for k in members])
         which, offset = window_starts(lengths, size, 1)
         base = np.cumsum(lengths) - lengths
