@@ -359,3 +359,20 @@ def test_long_items_with_a_block_edited_in_a_row(n_words):
         found += any(i == 1 for i, *_ in leaks)
     assert tried >= 90
     assert found == tried
+
+
+@pytest.mark.parametrize("text", ["Released under the MIT terms", "Licensed under CC BY 4.0 terms here",
+                                  "Redistribution and use in source and binary forms, with or without modification, are "
+                                  "permitted provided that the following conditions are satisfied"])
+def test_accepted_wordings_need_no_other_term(text):
+    """The filter is built from the notices: a wording the comparison accepts is never filtered out first."""
+    alone = [f["license"] for f in licenses.scan_text(text)]
+    assert alone and alone == [f["license"] for f in licenses.scan_text("Copyright me. " + text)][-len(alone):]
+
+
+def test_every_notice_holds_an_anchor():
+    import re as _re
+
+    anchor = _re.compile(licenses.ANCHORS)
+    for text in licenses.TEMPLATES.values():
+        assert anchor.search(text)

@@ -43,7 +43,6 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-TERMS = r"(?i)licen[cs]|copyright|redistribut|permission|public\W+domain|mozilla\W+public|warrant"
 # Words whose presence decides which license a notice names.
 TELLING = frozenset("nc nd sa by cc mit bsd apache gnu lesser affero mozilla general".split())
 MAX_DIFFERENT = 0.2
@@ -51,7 +50,32 @@ MAX_DIFFERENT = 0.2
 PIECE = 400
 _LONG = 40
 _WORD = re.compile(r"\w+")
-_TERM = re.compile(TERMS)
+# Words too common in prose to pick as anchors where the notice offers others.
+_COMMON = frozenset("a an and as at by for in is it of on or the this to under with".split())
+
+
+def anchors(templates: dict[str, str] = None) -> list[str]:
+    """Words of which every wording the comparison can accept holds at least one, for some notice.
+
+    A telling word may not be missing, so a notice with one is anchored by its longest uncommon telling word.
+    Otherwise at most MAX_DIFFERENT of its words are missing, so one of any floor(MAX_DIFFERENT * n) + 1 of its
+    distinct words is present: the longest uncommon ones are taken.
+    """
+    out = set()
+    for text in (templates or TEMPLATES).values():
+        wanted = [m.group().lower() for m in _WORD.finditer(text)]
+        ranked = sorted(set(wanted), key=lambda w: (w in _COMMON, -len(w), w))
+        telling = [w for w in ranked if _telling(w) and not w.isdigit()]
+        out |= {telling[0]} if telling else set(ranked[:int(MAX_DIFFERENT * len(wanted)) + 1])
+    return sorted(out)
+
+
+def _telling(word: str) -> bool:
+    return word in TELLING or any(c.isdigit() for c in word)
+
+
+ANCHORS = r"(?i)\b(?:" + "|".join(anchors()) + r")\b"
+_TERM = re.compile(ANCHORS)
 LICENSE = ("array<struct<license:string,start:int,end:int,saved_bytes:int,share_saved:double,"
            "n_missing:int,n_added:int,missing:array<string>,added:array<string>>>")
 
@@ -111,10 +135,6 @@ def pieces(text: str) -> Iterator[list[tuple[str, int, int]]]:
             yield spans
 
 
-def _telling(word: str) -> bool:
-    return word in TELLING or any(c.isdigit() for c in word)
-
-
 def _places(found: list[str], wanted: list[str]) -> list[int]:
     """Starts at which most words of the notice stand in their place, or within two words of it."""
     where: dict[str, list[int]] = {}
@@ -191,6 +211,6 @@ def find_licenses(docs: DataFrame) -> DataFrame:
 
     Whole texts are searched; null and empty texts have none. A column named licenses is replaced.
     """
-    # Only texts with a term leave the JVM.
-    likely = F.when(F.col("text").rlike(TERMS), F.col("text"))
+    # Only texts with an anchor word leave the JVM.
+    likely = F.when(F.col("text").rlike(ANCHORS), F.col("text"))
     return docs.drop("licenses").withColumn("licenses", F.pandas_udf(_scanned, LICENSE)(likely))
