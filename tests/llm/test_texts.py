@@ -376,3 +376,9 @@ def test_every_notice_holds_an_anchor():
     anchor = _re.compile(licenses.ANCHORS)
     for text in licenses.TEMPLATES.values():
         assert anchor.search(text)
+
+
+def test_secrets_keep_a_column_named_blob(docs_of):
+    docs = docs_of([(1, "token = abcdef123456"), (2, None)]).withColumns({"blob": F.lit("mine"), "_blob": F.lit(7)})
+    out = secrets.scan_paths(docs).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["blob"], r["_blob"], len(r["findings"])) for r in out] == [(1, "mine", 7, 1), (2, "mine", 7, 0)]

@@ -127,15 +127,20 @@ def scan_paths(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     """`docs` without text, with findings: array of (start, rank, rule, end), in order of start and rule.
 
     A document (path) gets the findings of its blob, so copies are scanned once. Null and empty texts
-    have none. Rows are kept as they are, repeated ones too; a findings column is replaced.
+    have none. Rows are kept as they are, repeated ones too, with all their other columns (one named blob
+    included); a findings column is replaced.
     """
-    addressed = docs.drop("findings").withColumn("blob", blob_id(F.col("text")))
-    scanned = scan_blobs(addressed.select("blob", F.coalesce("text", F.lit("")).alias("text")), ledger, rules)
+    key = "blob"
+    while key in docs.columns:
+        key = f"_{key}"
+    addressed = docs.drop("findings").withColumn(key, blob_id(F.col("text")))
+    scanned = scan_blobs(addressed.select(F.col(key).alias("blob"), F.coalesce("text", F.lit("")).alias("text")),
+                         ledger, rules)
     every = F.flatten(F.transform("results", lambda r: F.transform(r["spans"], lambda s: F.struct(
         s["start"].alias("start"), _rank(r["rule"], rules).alias("rank"), r["rule"].alias("rule"), s["end"].alias("end")))))
-    hits = scanned.select("blob", F.array_sort(every).alias("findings")).where(F.size("findings") > 0)
+    hits = scanned.select(F.col("blob").alias(key), F.array_sort(every).alias("findings")).where(F.size("findings") > 0)
     none = F.array().cast("array<struct<start:int,rank:int,rule:string,end:int>>")
-    return addressed.drop("text").join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", none)).drop("blob")
+    return addressed.drop("text").join(hits, key, "left").withColumn("findings", F.coalesce("findings", none)).drop(key)
 
 
 def _rank(name: Column, rules: tuple[Rule, ...]) -> Column:
