@@ -118,3 +118,18 @@ def test_silhouette_of_rows_outside_the_sample(spark):
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
     with pytest.raises(ValueError):
         nb.silhouette(points, points, 10)
+
+
+def test_rows_written_and_shuffled_do_not_follow_the_cells(spark, monkeypatch):
+    """Every query meets every cell here: it may travel once per block, not once per cell."""
+    random = np.random.default_rng(11)
+    x = random.normal(size=(9_000, 24))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    written, cut = [], nb.cut_lineage
+    monkeypatch.setattr(nb, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    found = nb.nearest_neighbours(points, points, 3, exclude_self=True).filter("id % 300 = 0").collect()
+    assert sum(df.count() for df in written) <= 5 * len(x)
+    far = np.sqrt(((x[::300, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    far[np.arange(30), np.arange(0, 9_000, 300)] = np.inf
+    assert {(r["id"], r["neighbour_id"], r["rank"]) for r in found} == {
+        (300 * q, int(i), n + 1) for q, row in enumerate(far) for n, i in enumerate(row.argsort()[:3])}
