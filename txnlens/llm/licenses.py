@@ -74,7 +74,7 @@ def _telling(word: str) -> bool:
     return word in TELLING or any(c.isdigit() for c in word)
 
 
-ANCHORS = r"(?i)\b(?:" + "|".join(anchors()) + r")\b"
+ANCHORS = r"(?i)\b(?:" + "|".join([*anchors(), "license"]) + r")\b"
 _TERM = re.compile(ANCHORS)
 LICENSE = ("array<struct<license:string,start:int,end:int,saved_bytes:int,share_saved:double,"
            "n_missing:int,n_added:int,missing:array<string>,added:array<string>>>")
