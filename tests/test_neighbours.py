@@ -133,3 +133,19 @@ def test_rows_written_and_shuffled_do_not_follow_the_cells(spark, monkeypatch):
     far[np.arange(30), np.arange(0, 9_000, 300)] = np.inf
     assert {(r["id"], r["neighbour_id"], r["rank"]) for r in found} == {
         (300 * q, int(i), n + 1) for q, row in enumerate(far) for n, i in enumerate(row.argsort()[:3])}
+
+
+def test_rows_without_distances_leave_the_others_right(spark):
+    random = np.random.default_rng(5)
+    x = random.normal(size=(400, 3))
+    rows = [(i, [None if i % 7 == 3 and j == 1 else float(c) for j, c in enumerate(v)]) for i, v in enumerate(x)]
+    rows += [(900, [float("nan"), 0.0, 0.0]), (901, [float("inf"), 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id long, vector array<double>")
+    kept = [i for i in range(400) if i % 7 != 3]
+    far = np.sqrt(((x[kept][:, None] - x[kept][None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    want = {(i, kept[j], n + 1) for i, row in zip(kept, far) for n, j in enumerate(row.argsort()[:4])}
+    found = nb.nearest_neighbours(points, points, 4, exclude_self=True).collect()
+    assert {(r["id"], r["neighbour_id"], r["rank"]) for r in found} == want
+    np.fill_diagonal(far, 0.0)
+    assert {(r["id"], r["n"]) for r in nb.count_within(points, 0.5).collect()} == set(zip(kept, (far <= 0.5).sum(axis=1).tolist()))
