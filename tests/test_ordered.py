@@ -71,3 +71,31 @@ def test_split_sizes_and_repeatability(spark):
     labelled = df.withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     part = stratified_split(labelled, "id", "label", 0.25, 1).filter("is_test").groupBy("label").count()
     assert {r[0]: r[1] for r in part.collect()} == {0: 23, 1: 3}  # ceil(101 / 4) rows in all
+
+
+def test_rank_lookup_keeps_rows_out_of_ordered_scans(spark, monkeypatch):
+    """Rows that share a value are scanned as one, whatever their number; nulls, NaN and repeated rows keep their ranks."""
+    from txnlens.operators import ranking
+
+    scanned = []
+    plain = ranking.running
+    monkeypatch.setattr(ranking, "running", lambda df, *a, **k: (scanned.append(df.count()), plain(df, *a, **k))[1])
+    kind = "g string, v double, id string"
+    reference = spark.createDataFrame([("a", 1.0, 2, 0, 2), ("a", 3.0, 1, 2, 3), ("a", float("nan"), 1, 3, 4)],
+                                      "g string, v double, n long, n_lt long, n_le long")
+    asked = [("a", 1.0, "x")] * 500 + [("a", 2.0, None), ("a", float("nan"), "y"), ("a", None, "z"), ("b", 1.0, "w"), (None, 1.0, "q")]
+    found = ranking.rank_against(spark.createDataFrame(asked, kind), reference, ["g"], "v", "id")
+    got = sorted((str(r["g"]), str(r["v"]), str(r["id"]), r["n_lt"], r["n_le"]) for r in found.collect())
+    assert scanned == [9]
+    assert got == sorted(
+        [("a", "1.0", "x", 0, 2)] * 500 + [("a", "2.0", "None", 2, 2), ("a", "nan", "y", 3, 4), ("a", "None", "z", 0, 0),
+                                          ("b", "1.0", "w", 0, 0), ("None", "1.0", "q", 0, 0)])
+
+
+def test_dated_scores_are_joined_once(spark, folder):
+    """The parts of thr3 and thr4 read written rows; a reader does not join one row per detector again."""
+    from txnlens.catalog import reports
+
+    for part in reports._old_new(spark, folder):
+        assert "Join" not in part._jdf.queryExecution().optimizedPlan().toString()
+        assert part.columns == ["TransactionID", "detector", "score"]
