@@ -102,3 +102,16 @@ def test_attributions_equal_the_shapley_sum():
                     total += weight * (_expected(indexed, x, {*s, i}) - _expected(indexed, x, set(s)))
             assert np.isclose(phi[i], total)
         assert np.isclose(model.base + phi.sum(), _expected(indexed, x, {0, 1, 2}))
+
+
+def test_arrow_batches_become_matrices(spark):
+    import pyarrow as pa
+    from txnlens.detectors.batches import matrix, score_with
+
+    whole = pa.array([[0.0, 1.0], [2.0, None], [4.0, 5.0]], pa.list_(pa.float64()))
+    assert np.array_equal(matrix(whole.slice(1)), [[2.0, np.nan], [4.0, 5.0]], equal_nan=True)
+    with pytest.raises(ValueError):
+        matrix(pa.array([[1.0], [1.0, 2.0, 3.0]], pa.list_(pa.float64())))
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 1.0])], "id long, vector array<double>")
+    got = {r["id"]: r["score"] for r in score_with(rows, 3.0, lambda m, x: x.sum(axis=1) * m).collect()}
+    assert got == {1: 9.0, 2: None}
