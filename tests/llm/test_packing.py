@@ -1,6 +1,7 @@
 """Best-fit packing: pieces against plain tokenization, valid and optimal packings."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -48,6 +49,28 @@ def test_pieces_match_plain_tokenization(spark, docs_of):
     assert max(r[3] for r in got) == packing.SEQUENCE
 
 
+def test_encoder_matches_plain_tokenization_of_odd_texts(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_PIECES", 5_000)  # forgets several times on the way
+    rng = random.Random(3)
+    letters = "aB 'sST.,<|>09e\u0301J\u030cΣςİ\u2003\x1c\x1f\t\n\u3000ǅⅷ½😀中\u0345\u200d\x85\xa0\ufeff\u212b"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "J\u030cx"]
+    plain = Tokenizer.from_file(packing.tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    encoder, got = packing.Encoder(packing.tokenizer_path()), []
+    for at in range(0, len(texts), 100):
+        got += encoder.ids(texts[at:at + 100])
+    assert [g.tolist() for g in got] == [e.ids for e in plain]
+
+
+def test_a_word_is_split_and_encoded_once():
+    encoder, seen = packing.Encoder(packing.tokenizer_path()), []
+    split = encoder.split
+    encoder.split = lambda word: seen.append(word) or split(word)
+    words = [f"word{i}," for i in range(50)]
+    for _ in range(3):
+        encoder.ids([" ".join(words)] * 20)
+    assert sorted(seen) == sorted(words)
+
+
 def test_whole_packing_is_valid_and_tight(spark, docs_of):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(300)]

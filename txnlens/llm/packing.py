@@ -61,25 +61,46 @@ _WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _CACHE_PIECES = 1 << 20
 
 
-class _Pieces(dict):
-    """Pre-token -> its ids, from the tokenizer itself; BPE works on one pre-token at a time."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.tok = tok
-
-    def __missing__(self, piece):
-        if len(self) >= _CACHE_PIECES:
-            self.clear()
-        ids = self[piece] = self.tok.encode(piece, add_special_tokens=False).ids
-        return ids
+class _Pieces:
+    """Word or pre-token -> its ids, kept as one array of ids with the start and count of each entry."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """New entries: `counts` of `ids` go to each key in turn."""
+        n, end = len(self.known), self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(end, np.uint32)])
+        if n + len(keys) > len(self.start):
+            more = n + len(keys)
+            self.start = np.concatenate([self.start[:n], np.zeros(more, np.int64)])
+            self.count = np.concatenate([self.count[:n], np.zeros(more, np.int32)])
+        self.ids[self.used:end] = ids
+        self.start[n:n + len(keys)] = self.used + np.cumsum(counts) - counts
+        self.count[n:n + len(keys)] = counts
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.used = end
+
+    def look_up(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys on end, and how many each has."""
+        at = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+        counts = self.count[at].astype(np.int64)
+        first = self.start[at] - (np.cumsum(counts) - counts)
+        return self.ids[np.repeat(first, counts) + np.arange(int(counts.sum()))], counts
 
 
 class Encoder:
     """Token ids of texts. For a tokenizer built as NFC, whitespace runs to one space, lower case, then a
-    regex split that keeps its matches and byte-level BPE (as word_bpe_49k), texts are split into pre-tokens
-    here and each distinct pre-token is encoded once by the tokenizer; any other tokenizer encodes whole texts.
-    The ids are the same either way; tests compare them with plain `Tokenizer.encode`."""
+    regex split that keeps its matches and byte-level BPE (as word_bpe_49k), texts are normalized and split at
+    whitespace here, distinct new words into the tokenizer's pre-tokens, and each distinct new pre-token is encoded
+    once by the tokenizer's own model; any other tokenizer encodes whole texts. The ids are the same either way;
+    tests compare them with plain `Tokenizer.encode`."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,11 +109,23 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.split = self._fast_split(spec)
+        self.words, self.split = self._fast_split(spec)
+        self.plain = self._without_normalizer(path) if self.split else None
         # Texts holding an added token's string go to the tokenizer whole, which matches those first.
         self.added = [t["content"].lower() for t in spec.get("added_tokens", []) if t["content"]]
         self.marks = {c for a in self.added for c in (a[0], a[0].upper())}
-        self.pieces = _Pieces(self.tok)
+        self.pieces = _Pieces()
+
+    @staticmethod
+    def _without_normalizer(path: str):
+        """The tokenizer's byte-level BPE over pre-tokens joined by spaces, which are normalized already."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tok = Tokenizer.from_file(path)
+        tok.normalizer = normalizers.Sequence([])
+        tok.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return tok
 
     @staticmethod
     def _fast_split(spec):
@@ -102,57 +135,64 @@ class Encoder:
         if (steps != ["NFC", "Replace", "Lowercase"] or norm["normalizers"][1].get("pattern") != {"Regex": "\\s+"}
                 or norm["normalizers"][1].get("content") != " " or [p.get("type") for p in pres] != ["Split", "ByteLevel"]
                 or pres[0].get("behavior") != "Removed" or not pres[0].get("invert") or pres[1].get("use_regex")):
-            return None
+            return None, None
         pattern = pres[0]["pattern"].get("Regex")
         if pattern is None or pattern.count("\\s") != pattern.count("[^\\s"):
-            return None
+            return None, None
         import regex
 
         # ASCII texts: letters are a-z after lower case and numbers 0-9, so the standard library's engine
         # runs the same split with the classes of the tokenizer's pattern narrowed to ASCII.
         ascii_split = re.compile(pattern.replace("\\s", "\t\n\x0b\x0c\r ").replace("\\p{L}", "a-z")
                                  .replace("\\p{N}", "0-9"))
-        ascii_space = re.compile("[\t\n\x0b\x0c\r ]+")
         split = regex.compile(pattern.replace("\\s", _WHITE))
         space = regex.compile(f"[{_WHITE}]+")
+        separators = re.compile("[\x1c-\x1f]")  # whitespace to str.split alone
 
-        def pieces(text: str) -> list[str]:
-            if text.isascii():
-                return ascii_split.findall(ascii_space.sub(" ", text).lower())
+        def words(text: str) -> list[str]:
             # The tokenizer lower-cases letter by letter: a final capital sigma becomes σ, never ς.
-            return split.findall(space.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
-
-        return pieces
+            plain = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if separators.search(plain):
+                return [w for w in space.split(plain.lower()) if w]
+            return plain.lower().split()
+
+        def pieces(word: str) -> list[str]:
+            return (ascii_split if word.isascii() else split).findall(word)
+
+        return words, pieces
+
+    def _learn(self, words: list[str]) -> None:
+        """Add the ids of all words not known yet; their new pre-tokens are encoded in one call."""
+        known = self.pieces.known
+        new = list(set(words).difference(known))
+        parts = [self.split(w) for w in new]
+        fresh = list(set(itertools.chain.from_iterable(parts)).difference(known))
+        if len(known) + len(new) + len(fresh) > _CACHE_PIECES and known:
+            self.pieces.clear()
+            return self._learn(words)
+        if fresh:
+            enc = self.plain.encode(" ".join(fresh), add_special_tokens=False)
+            counts = np.bincount(np.asarray(enc.word_ids, dtype=np.int64), minlength=len(fresh))
+            self.pieces.add(fresh, np.asarray(enc.ids, dtype=np.uint32), counts)
+        # The words that are not one pre-token.
+        new, parts = [w for w in new if w not in known], [p for w, p in zip(new, parts, strict=True) if w not in known]
+        if new:
+            ids, counts = self.pieces.look_up(list(itertools.chain.from_iterable(parts)))
+            ends = np.cumsum([len(p) for p in parts])
+            self.pieces.add(new, ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])]))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of every text."""
         if self.split is None:
             return [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         whole = [any(m in t for m in self.marks) and any(a in t.lower() for a in self.added) for t in texts]
-        split = [[] if w else self.split(t) for t, w in zip(texts, whole, strict=True)]
-        flat_pieces = [p for ps in split for p in ps]
-        keys = list(dict.fromkeys(flat_pieces))
-        # Pieces not seen yet are encoded in one call.
-        new = [k for k in keys if k not in self.pieces]
-        if len(self.pieces) + len(new) > _CACHE_PIECES:
-            self.pieces.clear()
-            new = keys
-        for piece, enc in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.pieces[piece] = enc.ids
-        per_key = [self.pieces[k] for k in keys]
-        key_len = np.fromiter(map(len, per_key), dtype=np.int64, count=len(keys))
-        key_flat = np.fromiter(itertools.chain.from_iterable(per_key), dtype=np.uint32, count=int(key_len.sum()))
-        key_start = np.cumsum(key_len) - key_len
-        where = dict(zip(keys, range(len(keys))))
-        at = np.fromiter(map(where.__getitem__, flat_pieces), dtype=np.int64, count=len(flat_pieces))
-        lens = key_len[at]
-        total = int(lens.sum())
-        ids = key_flat[np.repeat(key_start[at] - (np.cumsum(lens) - lens), lens) + np.arange(total)]
-        piece_ends = np.cumsum([len(ps) for ps in split])
-        token_ends = np.concatenate([[0], np.cumsum(lens)])[piece_ends]
-        out = np.split(ids, token_ends[:-1])
+        split = [[] if w else self.words(t) for t, w in zip(texts, whole, strict=True)]
+        flat = list(itertools.chain.from_iterable(split))
+        self._learn(flat)
+        ids, counts = self.pieces.look_up(flat)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(ws) for ws in split])]
         return [np.asarray(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32) if w else o
-                for t, w, o in zip(texts, whole, out, strict=True)]
+                for t, w, o in zip(texts, whole, np.split(ids, ends[:-1]), strict=True)]
 
 
 def _tokenizer(path: str) -> Encoder:
