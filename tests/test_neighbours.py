@@ -149,3 +149,25 @@ def test_rows_without_distances_leave_the_others_right(spark):
     assert {(r["id"], r["neighbour_id"], r["rank"]) for r in found} == want
     np.fill_diagonal(far, 0.0)
     assert {(r["id"], r["n"]) for r in nb.count_within(points, 0.5).collect()} == set(zip(kept, (far <= 0.5).sum(axis=1).tolist()))
+
+
+def test_full_silhouette_meets_every_row(spark, tmp_path):
+    """More rows than the former sample held, over several blocks; rows without a label take no part."""
+    from txnlens.catalog.models import silhouette
+
+    random = np.random.default_rng(8)
+    x = random.normal(size=(2_300, 4)).astype("float32")
+    label = [None if i % 500 == 499 else 9 if i == 7 else i % 3 for i in range(len(x))]
+    rows = [(i, [float(c) for c in v], k) for i, (v, k) in enumerate(zip(x, label))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["silhouette"] for r in silhouette(spark, str(tmp_path)).collect()}
+    x, kept = x.astype(float), np.array([k is not None for k in label])
+    names = np.array([-1 if k is None else k for k in label])
+    assert len(got) == len(x) and got[7] == 0.0 and got[499] is None
+    for i in range(0, len(x), 97):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        same = kept & (names == names[i])
+        a = far[same].sum() / (same.sum() - 1)
+        b = min(far[names == k].mean() for k in set(names[kept]) - {names[i]})
+        assert abs(got[i] - (b - a) / max(a, b)) < 2e-6
