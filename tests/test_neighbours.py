@@ -171,3 +171,24 @@ def test_full_silhouette_meets_every_row(spark, tmp_path):
         a = far[same].sum() / (same.sum() - 1)
         b = min(far[names == k].mean() for k in set(names[kept]) - {names[i]})
         assert abs(got[i] - (b - a) / max(a, b)) < 2e-6
+
+
+def test_boxes_pass_over_far_rows_of_a_block(monkeypatch):
+    """Narrow vectors: few pairs are compared, and the nearest rows are those of all pairs."""
+    random = np.random.default_rng(4)
+    x = random.uniform(size=(30_000, 3))
+    asked, pairs, measure = x[::300], [], nb._approximate
+    monkeypatch.setattr(nb, "_approximate", lambda a, b: pairs.append(len(a) * len(b)) or measure(a, b))
+    tiles = nb._Tiles(x, np.zeros(len(x)))
+    query, row, far = nb._best_of_block(asked, np.full(len(asked), np.inf), tiles, 5)
+    every = np.sqrt(((asked[:, None] - x[None]) ** 2).sum(axis=2))
+    assert (row.reshape(-1, 5) == every.argsort(axis=1)[:, :5]).all()
+    assert np.allclose(far.reshape(-1, 5), np.sort(every, axis=1)[:, :5])
+    assert sum(pairs) < 0.25 * len(asked) * len(x)
+
+
+def test_leaves_hold_every_row_once():
+    x = np.repeat(np.random.default_rng(2).integers(0, 3, size=(4_000, 2)).astype(float), 2, axis=0)
+    found = nb._leaves(x, 100)
+    assert sorted(np.concatenate(found).tolist()) == list(range(len(x)))
+    assert all(len(rows) <= 100 or (x[rows] == x[rows[0]]).all() for rows in found)
