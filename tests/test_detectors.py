@@ -115,3 +115,15 @@ def test_arrow_batches_become_matrices(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan"), 1.0])], "id long, vector array<double>")
     got = {r["id"]: r["score"] for r in score_with(rows, 3.0, lambda m, x: x.sum(axis=1) * m).collect()}
     assert got == {1: 9.0, 2: None}
+
+
+def test_mcd_keeps_the_distances_that_quantiles_read_more_than_once(spark, monkeypatch):
+    from txnlens.detectors import robust
+
+    x = np.random.default_rng(6).normal(size=(200, 2))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    kept, measure = [], robust.quantiles
+    monkeypatch.setattr(robust, "quantiles", lambda df, *rest, **more: kept.append(df.is_cached) or measure(df, *rest, **more))
+    monkeypatch.setattr(robust, "BUFFER_ROWS", 100, raising=False)
+    robust.MinCovDet(start_rows=100).learn(rows)
+    assert kept and all(kept)
